@@ -123,3 +123,24 @@ def within_days(column: str, start: str | None, end: str | None) -> Column:
 def shift_days(text: str, days: int) -> str:
     """The day of a bound moved by ``days``, as a bare date."""
     return str(_parse_bound(text)[0].date() + dt.timedelta(days=days))
+
+
+def cycle_periods(as_of: dt.datetime, cycle: str) -> tuple[tuple[str, str], tuple[str, str]]:
+    """The running cycle up to ``as_of``, and the whole cycle before it, as inclusive periods."""
+    midnight = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
+    if cycle == "year":
+        start = midnight.replace(month=1, day=1)
+        before = start.replace(year=start.year - 1)
+    elif cycle == "month":
+        start = midnight.replace(day=1)
+        before = (start - dt.timedelta(days=1)).replace(day=1)
+    elif cycle == "week":
+        start = midnight - dt.timedelta(days=midnight.weekday())
+        before = start - dt.timedelta(days=7)
+    elif cycle == "day":
+        start = midnight
+        before = start - dt.timedelta(days=1)
+    else:
+        raise ValueError(f"no such cycle: {cycle!r}; use one of {CYCLES}")
+    last_day_before = (start - dt.timedelta(days=1)).date()
+    return (str(start), str(as_of.replace(microsecond=0))), (str(before.date()), str(last_day_before))

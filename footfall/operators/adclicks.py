@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footfall.functions.times import format_date
-
 USER_COUNT_KEYS = ("date", "user_id", "ad_id")
 STAT_KEYS = ("date", "province", "city", "ad_id")
 TREND_KEYS = ("date", "hour", "minute", "ad_id")
@@ -47,8 +45,15 @@ def counts_of(keys: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def ad_stat(clicks: DataFrame) -> DataFrame:
-    """Clicks per day, province, city and ad. Static or streaming."""
-    return clicks.groupBy(_day(), "province", "city", "ad_id").agg(_clicks())
+    """Clicks per day, province, city and ad. Static or streaming.
+
+    A stream groups by a window of one day instead, so that its watermark can drop the state of days
+    gone by.
+    """
+    if not clicks.isStreaming:
+        return clicks.groupBy(_day(), "province", "city", "ad_id").agg(_clicks())
+    per_day = clicks.groupBy(F.window("ts", "1 day").alias("w"), "province", "city", "ad_id").agg(_clicks())
+    return per_day.select(F.to_date("w.start").alias("date"), "province", "city", "ad_id", "click_count")
 
 
 def province_counts(stat: DataFrame) -> DataFrame:
@@ -91,7 +96,3 @@ def sliding_totals(clicks: DataFrame, length: str = "60 minutes", slide: str = "
     return windows.agg(F.sum("click_count").alias("click_count")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "ad_id", "click_count"
     )
-
-
-def day_text(day: Column) -> Column:
-    return format_date(day)

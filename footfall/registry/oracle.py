@@ -272,6 +272,14 @@ _OWN, _OTHER = "自营商品", "第三方商品"
 _STATUS = (
     f"CASE WHEN json_extract_string(info, '$.product_status') = '0' THEN '{_OWN}' ELSE '{_OTHER}' END"
 )
+_PROVINCE_TOP3 = """
+    SELECT date, province, ad_id, click_count
+    FROM (SELECT *, row_number() OVER (PARTITION BY date, province ORDER BY click_count DESC, ad_id) AS r
+          FROM province_stat)
+    WHERE r <= 3"""
+_TREND = """
+    SELECT date, strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count
+    FROM ad_click_log GROUP BY 1, 2, 3, 4"""
 
 ORACLE: dict[str, str] = {
     "action_scan": _with("SELECT * FROM actions", "actions"),
@@ -422,22 +430,19 @@ ORACLE: dict[str, str] = {
     ),
     "ad_stat": _with("SELECT * FROM stat", "stat"),
     "ad_province_rollup": _with("SELECT * FROM province_stat", "province_stat"),
-    "ad_province_top3": _with(
-        "SELECT date, province, ad_id, click_count FROM (SELECT *, row_number() OVER"
-        " (PARTITION BY date, province ORDER BY click_count DESC, ad_id) AS r FROM province_stat) WHERE r <= 3",
-        "province_stat",
-    ),
-    "ad_click_trend": _with(
-        "SELECT date, strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count"
-        " FROM ad_click_log GROUP BY 1, 2, 3, 4",
-        "ad_click_log",
-    ),
+    "ad_province_top3": _with(_PROVINCE_TOP3, "province_stat"),
+    "ad_click_trend": _with(_TREND, "ad_click_log"),
     "ad_sliding_hour": _with(
         "SELECT window_start, window_start + INTERVAL '60' MINUTE AS window_end, ad_id, count(*) AS click_count"
         " FROM (SELECT ad_id, time_bucket(INTERVAL '10' MINUTE, ts) - to_minutes(10 * CAST(unnest(range(6)) AS INTEGER))"
         " AS window_start FROM ad_click_log) GROUP BY 1, 3",
         "ad_click_log",
     ),
+    "stream_user_counts": _with("SELECT * FROM user_counts", "user_counts"),
+    "stream_blacklist": _with("SELECT * FROM blacklist", "blacklist"),
+    "stream_ad_stat": _with("SELECT * FROM stat", "stat"),
+    "stream_province_top3": _with(_PROVINCE_TOP3, "province_stat"),
+    "stream_click_trend": _with(_TREND, "ad_click_log"),
     "action_log_json": _with(
         "SELECT event_id AS logId, user_id AS userId, date_trunc('second', ts) AS actionTime,"
         " CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS actionType,"

@@ -31,9 +31,15 @@ class ChangeLog:
         self.day = day
         self.schema = T.StructType.fromDDL(f"{schema}, {BATCH} BIGINT")
 
-    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        """Idempotent by batch id, provided the source replays the same rows for the same batch."""
+    def write_batch(self, rows: DataFrame, batch_id: int, files: int | None = None) -> None:
+        """Idempotent by batch id, provided the source replays the same rows for the same batch.
+
+        ``files`` gathers the rows into that many files per day, for streaming plans, where nothing
+        else merges the many small partitions of a stateful step.
+        """
         columns = [f.name for f in self.schema.fields if f.name != BATCH]
+        if files is not None:
+            rows = rows.repartition(files, *self.keys)
         (
             rows.select(*columns, F.lit(batch_id).cast("bigint").alias(BATCH))
             .write.mode("overwrite")
@@ -42,15 +48,28 @@ class ChangeLog:
             .parquet(self.path)
         )
 
-    def rows(self, spark: SparkSession, days: Sequence[dt.date] | None = None) -> DataFrame:
+    def rows(
+        self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
+    ) -> DataFrame:
         log = read_or_empty(spark, self.path, self.schema)
-        return log if days is None else log.where(F.col(self.day).isin(list(days)))
+        if days is not None:
+            log = log.where(F.col(self.day).isin(list(days)))
+        if upto is not None:
+            log = log.where(F.col(BATCH) <= upto)
+        return log
+
+    def of_batch(self, spark: SparkSession, batch_id: int, days: Sequence[dt.date] | None = None) -> DataFrame:
+        return self.rows(spark, days).where(F.col(BATCH) == batch_id).drop(BATCH)
 
-    def latest(self, spark: SparkSession, days: Sequence[dt.date] | None = None) -> DataFrame:
-        return self._fold(self.rows(spark, days), F.max_by(self.value, BATCH))
+    def latest(
+        self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
+    ) -> DataFrame:
+        return self._fold(self.rows(spark, days, upto), F.max_by(self.value, BATCH))
 
-    def totals(self, spark: SparkSession, days: Sequence[dt.date] | None = None) -> DataFrame:
-        return self._fold(self.rows(spark, days), F.sum(self.value))
+    def totals(
+        self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
+    ) -> DataFrame:
+        return self._fold(self.rows(spark, days, upto), F.sum(self.value))
 
     def _fold(self, log: DataFrame, value: Column) -> DataFrame:
         return log.groupBy(*self.keys).agg(value.alias(self.value))
@@ -61,7 +80,7 @@ class ChangeLog:
         into.write_batch(folded, 0)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The table at ``path``, or no rows before anything was written there."""
     try:
         return spark.read.schema(schema).parquet(path)

@@ -28,10 +28,20 @@ def _when_type(event_type: str, value: Column) -> Column:
     return F.when(F.col("event_type") == event_type, value)
 
 
+def _with_k(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "events", _EVENTS).withColumn(
-        "k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
-    )
+    return _with_k(_read(spark, folder, "events", _EVENTS))
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table as a stream of its files.
+
+    The braces make the path a pattern, which a stream takes for a single file and a folder alike.
+    """
+    return _with_k(spark.readStream.schema(_EVENTS).parquet(f"{folder}/{{events.parquet}}"))
 
 
 def user_visit_action(spark: SparkSession, folder: str) -> DataFrame:

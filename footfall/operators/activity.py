@@ -91,6 +91,11 @@ def spend_growth(
     return top_users(totals.withColumnRenamed("growth", "purchaseMoneyIncr"), "purchaseMoneyIncr", top)
 
 
+def first_days_span(registered: Period, days: int = 7) -> Period:
+    """The days in which the first ``days`` days of users registered in a period can fall."""
+    return registered[0], shift_days(registered[1], days - 1)
+
+
 def first_days_log(
     log: DataFrame, users: DataFrame, action_type: int, registered: Period, days: int = 7
 ) -> DataFrame:
@@ -99,8 +104,7 @@ def first_days_log(
     The registration range bounds the action times too, so the log scan reads that span only. The
     join is on the user, with the time condition inside it.
     """
-    span = (registered[0], shift_days(registered[1], days - 1))
-    rows = log_in_period(log, action_type, span).alias("log")
+    rows = log_in_period(log, action_type, first_days_span(registered, days)).alias("log")
     newcomers = users.where(within(users, "registTime", *registered)).alias("newcomer")
     opened = F.to_date("newcomer.registTime")
     started = F.col("log.actionTime") >= F.col("newcomer.registTime")

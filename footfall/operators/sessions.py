@@ -150,13 +150,13 @@ def _category_wanted(params: TaskParams) -> Column | None:
     return F.col("click_category_id").isin(list(params.category_ids))
 
 
-def with_lists(sessions: DataFrame, actions: DataFrame) -> DataFrame:
-    """Add the word and category lists to some sessions; ``actions`` are the actions of those."""
-    lists = actions.groupBy("session_id").agg(
+def session_lists(actions: DataFrame) -> DataFrame:
+    """Start and lists of the sessions that some actions belong to, for a small choice of sessions."""
+    return actions.groupBy("session_id").agg(
+        F.min("action_time").alias("start_time"),
         join_sorted(F.collect_set(_word())).alias("search_keywords"),
         join_sorted(F.collect_set("click_category_id")).alias("click_category_ids"),
     )
-    return sessions.join(lists, "session_id", "left")
 
 
 def actions_of(actions: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def run_session_analysis(
     sample = sampling.session_sample(spans.select("session_id", "start_time"), sample_size, seed)
     sample = materialize(sample, shared_folder(spark, "session-sample", work))
     detail = categories.details_of(scanned, sample)
-    write(sessions.with_lists(sample, detail), "session_random_extract")
+    write(sessions.session_lists(detail), "session_random_extract")
     write(detail.select(*_DETAIL), "session_detail")
 
     kept = sessions.actions_of(scanned, spans)

@@ -138,9 +138,7 @@ def _sample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def session_sample(spark: SparkSession, folder: str) -> DataFrame:
-    sample = _sample(spark, folder)
-    details = categories.details_of(_actions(spark, folder), sample)
-    return sessions.with_lists(sample, details)
+    return sessions.session_lists(categories.details_of(_actions(spark, folder), _sample(spark, folder)))
 
 
 @query
@@ -276,8 +274,12 @@ def area_top3_product(spark: SparkSession, folder: str) -> DataFrame:
 # --- user activity
 
 
-def _log(spark: SparkSession, folder: str) -> DataFrame:
-    return star.user_action_log(spark, folder)
+def _log(spark: SparkSession, folder: str, days: activity.Period | None = None) -> DataFrame:
+    return star.user_action_log(spark, folder, days)
+
+
+_PERIOD = (S.START, S.END)
+_FIRST_DAYS = activity.first_days_span(S.REGISTERED)
 
 
 def _base(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,12 +288,12 @@ def _base(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def active_top10_visits(spark: SparkSession, folder: str) -> DataFrame:
-    return activity.top_visits(_log(spark, folder), _base(spark, folder), (S.START, S.END))
+    return activity.top_visits(_log(spark, folder, _PERIOD), _base(spark, folder), _PERIOD)
 
 
 @query
 def active_top10_spend(spark: SparkSession, folder: str) -> DataFrame:
-    return activity.top_spend(_log(spark, folder), _base(spark, folder), (S.START, S.END))
+    return activity.top_spend(_log(spark, folder, _PERIOD), _base(spark, folder), _PERIOD)
 
 
 @query
@@ -317,17 +319,18 @@ def period_union(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def first7d_log(spark: SparkSession, folder: str) -> DataFrame:
-    return activity.first_days_log(_log(spark, folder), _base(spark, folder), activity.VISIT, S.REGISTERED)
+    log, users = _log(spark, folder, _FIRST_DAYS), _base(spark, folder)
+    return activity.first_days_log(log, users, activity.VISIT, S.REGISTERED)
 
 
 @query
 def first7d_visits(spark: SparkSession, folder: str) -> DataFrame:
-    return activity.first_days_visits(_log(spark, folder), _base(spark, folder), S.REGISTERED)
+    return activity.first_days_visits(_log(spark, folder, _FIRST_DAYS), _base(spark, folder), S.REGISTERED)
 
 
 @query
 def first7d_spend(spark: SparkSession, folder: str) -> DataFrame:
-    return activity.first_days_spend(_log(spark, folder), _base(spark, folder), S.REGISTERED)
+    return activity.first_days_spend(_log(spark, folder, _FIRST_DAYS), _base(spark, folder), S.REGISTERED)
 
 
 # --- ad clicks

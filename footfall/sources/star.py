@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.functions.times import to_second
+from footfall.functions.times import to_second, within
 
 _EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -116,9 +116,19 @@ def user_base_info(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def user_action_log(spark: SparkSession, folder: str) -> DataFrame:
+def user_action_log(
+    spark: SparkSession, folder: str, days: tuple[str, str] | None = None
+) -> DataFrame:
+    """The log, or its part between two days.
+
+    ``actionTime`` drops fractions of a second, so a condition on it does not reach the scan. The
+    same days as a condition on ``ts`` do, and mean the same.
+    """
     purchase = F.col("event_type") == "purchase"
-    return events(spark, folder).select(
+    source = events(spark, folder)
+    if days is not None:
+        source = source.where(within(source, "ts", *days))
+    return source.select(
         F.col("event_id").alias("logId"),
         F.col("user_id").alias("userId"),
         to_second(F.col("ts")).alias("actionTime"),

@@ -36,6 +36,12 @@ def in_bucket(value: Column, bucket: Bucket) -> Column:
     return value >= low if high is None else value.between(low, high)
 
 
+def bucket_condition(column: str, bucket: Bucket) -> str:
+    """The range as a SQL condition, for aggregations over many ranges."""
+    _, low, high = bucket
+    return f"{column} >= {low}" if high is None else f"{column} BETWEEN {low} AND {high}"
+
+
 def bucket_label(value: Column, buckets: Sequence[Bucket]) -> Column:
     """Label of the range that holds the value; NULL outside all of them."""
     label = F.lit(None).cast("string")

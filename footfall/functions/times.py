@@ -60,8 +60,8 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 
 def to_second(ts: Column) -> Column:
-    """Drop the fraction of a second without passing through a time zone."""
-    return ts - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), ts) % 1)
+    """Drop the fraction of a second."""
+    return F.date_trunc("second", ts).cast("timestamp_ntz")
 
 
 def yesterday(as_of: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.numbers import DURATION_BUCKETS, STEP_BUCKETS, in_bucket, ratio
+from footfall.functions.numbers import DURATION_BUCKETS, STEP_BUCKETS, bucket_condition
 
 
 def session_counts(sessions: DataFrame) -> DataFrame:
@@ -13,14 +13,15 @@ def session_counts(sessions: DataFrame) -> DataFrame:
 
     One conditional aggregation; only one row per input partition is shuffled.
     """
-    length, steps = F.col("visit_length"), F.col("step_length")
-    counters = [F.count_if(in_bucket(length, b)).alias(b[0]) for b in DURATION_BUCKETS]
-    counters += [F.count_if(in_bucket(steps, b)).alias(b[0]) for b in STEP_BUCKETS]
+    ranges = [(b, "visit_length") for b in DURATION_BUCKETS] + [(b, "step_length") for b in STEP_BUCKETS]
+    counters = [F.expr(f"count_if({bucket_condition(c, b)}) AS `{b[0]}`") for b, c in ranges]
     return sessions.agg(F.count(F.lit(1)).alias("session_count"), *counters)
 
 
 def session_histogram(sessions: DataFrame) -> DataFrame:
     """Share of each range among all sessions; no row if there are none."""
-    total = F.col("session_count")
-    shares = [ratio(F.col(f"`{b[0]}`"), total).alias(b[0]) for b in DURATION_BUCKETS + STEP_BUCKETS]
-    return session_counts(sessions).where(total > 0).select(total, *shares)
+    shares = [
+        f"round(try_divide(CAST(`{b[0]}` AS DOUBLE), CAST(session_count AS DOUBLE)), 2) AS `{b[0]}`"
+        for b in DURATION_BUCKETS + STEP_BUCKETS
+    ]
+    return session_counts(sessions).where("session_count > 0").selectExpr("session_count", *shares)

@@ -18,15 +18,17 @@ def parse_ad_log(lines: DataFrame, column: str = "value") -> ParsedLog:
 
     A line with fewer than five fields, or with text where a number belongs, is quarantined whole.
     """
-    line = F.col(column)
-    part = F.split(line, " ")
-    fields = lines.select(
-        line.alias("line"),
+    part = F.split(F.col(column), " ")
+    fields = F.struct(
+        F.col(column).alias("line"),
         F.timestamp_millis(F.get(part, F.lit(0)).try_cast("bigint")).alias("ts"),
         F.get(part, F.lit(1)).alias("province"),
         F.get(part, F.lit(2)).alias("city"),
         F.get(part, F.lit(3)).try_cast("bigint").alias("user_id"),
         F.get(part, F.lit(4)).try_cast("bigint").alias("ad_id"),
     )
+    # Generating the fields, not just selecting them, keeps the check below from being pushed into
+    # the parsing, where it would parse each line a second time.
+    parsed = lines.select(F.inline(F.array(fields)))
     complete = F.col("ts").isNotNull() & F.col("user_id").isNotNull() & F.col("ad_id").isNotNull()
-    return ParsedLog(fields.where(complete).drop("line"), fields.where(~complete).select("line"))
+    return ParsedLog(parsed.where(complete).drop("line"), parsed.where(~complete).select("line"))

@@ -22,7 +22,12 @@ def parse_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -
     """Parse one JSON object per row of ``lines``. A line that does not parse is kept whole."""
     guarded = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.select(F.from_json(F.col(column), guarded, options).alias("record")).select("record.*")
+    # Generated, not just selected: the check below would otherwise parse each line a second time.
+    record = F.from_json(F.col(column), guarded, options)
+    return _checked(lines.select(F.inline(F.array(record))))
+
+
+def _checked(parsed: DataFrame) -> Checked:
     return Checked(
         parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT),
         parsed.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line")),

@@ -6,10 +6,9 @@ choices of an analysis still reach the Parquet scan below.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from footfall.functions.times import to_second, within
+from footfall.functions.times import within
 
 _EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -20,16 +19,17 @@ _REGION = "r_regionkey INT, r_name STRING"
 _PART = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
 
 
-def _read(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/{table}.parquet")
+_DAY = "CAST(ts AS DATE)"
+_SECOND = "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)"
+_IS_PURCHASE = "event_type = 'purchase'"
 
 
-def _when_type(event_type: str, value: Column) -> Column:
-    return F.when(F.col("event_type") == event_type, value)
+def _read(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/{table}.parquet")
 
 
 def _with_k(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+    return frame.selectExpr("*", "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k")
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,52 +45,43 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def user_visit_action(spark: SparkSession, folder: str) -> DataFrame:
-    day = F.to_date("ts")
-    k = F.col("k")
-    product = F.col("event_id") % 200
-    return events(spark, folder).select(
-        day.alias("date"),
+    return events(spark, folder).selectExpr(
+        f"{_DAY} AS date",
         "user_id",
-        F.concat(F.lit("s_"), F.col("user_id").cast("string"), F.lit("_"), day.cast("string")).alias(
-            "session_id"
-        ),
-        (k % 10).alias("page_id"),
-        to_second(F.col("ts")).alias("action_time"),
-        _when_type("view", F.concat(F.lit("kw"), (k % 12).cast("string"))).alias("search_keyword"),
-        _when_type("click", k).alias("click_category_id"),
-        _when_type("click", product).alias("click_product_id"),
-        _when_type("signup", F.concat_ws(",", k.cast("string"), ((k + 1) % 100).cast("string"))).alias(
-            "order_category_ids"
-        ),
-        _when_type("signup", product.cast("string")).alias("order_product_ids"),
-        _when_type("purchase", k.cast("string")).alias("pay_category_ids"),
-        _when_type("purchase", product.cast("string")).alias("pay_product_ids"),
-        (F.col("user_id") % 25).alias("city_id"),
+        f"concat('s_', CAST(user_id AS STRING), '_', CAST({_DAY} AS STRING)) AS session_id",
+        "k % 10 AS page_id",
+        f"{_SECOND} AS action_time",
+        "CASE WHEN event_type = 'view' THEN concat('kw', CAST(k % 12 AS STRING)) END AS search_keyword",
+        "CASE WHEN event_type = 'click' THEN k END AS click_category_id",
+        "CASE WHEN event_type = 'click' THEN event_id % 200 END AS click_product_id",
+        "CASE WHEN event_type = 'signup' THEN concat(CAST(k AS STRING), ',', CAST((k + 1) % 100 AS STRING)) END"
+        " AS order_category_ids",
+        "CASE WHEN event_type = 'signup' THEN CAST(event_id % 200 AS STRING) END AS order_product_ids",
+        f"CASE WHEN {_IS_PURCHASE} THEN CAST(k AS STRING) END AS pay_category_ids",
+        f"CASE WHEN {_IS_PURCHASE} THEN CAST(event_id % 200 AS STRING) END AS pay_product_ids",
+        "user_id % 25 AS city_id",
     )
 
 
 def user_info(spark: SparkSession, folder: str) -> DataFrame:
     customer = _read(spark, folder, "customer", _CUSTOMER)
     nation = _read(spark, folder, "nation", _NATION)
-    key = F.col("c_custkey")
-    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        key.alias("user_id"),
-        F.col("c_name").alias("username"),
-        F.col("c_name").alias("name"),
-        (18 + key % 50).cast("int").alias("age"),
-        F.col("c_mktsegment").alias("professional"),
-        F.col("n_name").alias("city"),
-        F.when(key % 2 == 0, "male").otherwise("female").alias("sex"),
+    return customer.join(nation, customer.c_nationkey == nation.n_nationkey).selectExpr(
+        "c_custkey AS user_id",
+        "c_name AS username",
+        "c_name AS name",
+        "CAST(18 + c_custkey % 50 AS INT) AS age",
+        "c_mktsegment AS professional",
+        "n_name AS city",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex",
     )
 
 
 def city_info(spark: SparkSession, folder: str) -> DataFrame:
     nation = _read(spark, folder, "nation", _NATION)
     region = _read(spark, folder, "region", _REGION)
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").cast("bigint").alias("city_id"),
-        F.col("n_name").alias("city_name"),
-        F.col("r_name").alias("area"),
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
+        "CAST(n_nationkey AS BIGINT) AS city_id", "n_name AS city_name", "r_name AS area"
     )
 
 
@@ -99,20 +90,19 @@ def part(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def product_info(spark: SparkSession, folder: str) -> DataFrame:
-    status = (F.col("p_size") % 2).cast("string")
-    return part(spark, folder).select(
-        F.col("p_partkey").alias("id"),
-        F.col("p_name").alias("product_name"),
-        F.concat(F.lit('{"product_status":'), status, F.lit("}")).alias("info"),
+    return part(spark, folder).selectExpr(
+        "p_partkey AS id",
+        "p_name AS product_name",
+        """concat('{"product_status":', CAST(p_size % 2 AS STRING), '}') AS info""",
     )
 
 
 def user_base_info(spark: SparkSession, folder: str) -> DataFrame:
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 20).cast("int"))
-    return _read(spark, folder, "customer", _CUSTOMER).select(
-        F.col("c_custkey").alias("userId"),
-        F.col("c_name").alias("username"),
-        (day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(6))).alias("registTime"),
+    return _read(spark, folder, "customer", _CUSTOMER).selectExpr(
+        "c_custkey AS userId",
+        "c_name AS username",
+        "CAST(date_add(DATE '2024-01-01', CAST(c_custkey % 20 AS INT)) AS TIMESTAMP_NTZ) + INTERVAL '6' HOUR"
+        " AS registTime",
     )
 
 
@@ -124,16 +114,15 @@ def user_action_log(
     ``actionTime`` drops fractions of a second, so a condition on it does not reach the scan. The
     same days as a condition on ``ts`` do, and mean the same.
     """
-    purchase = F.col("event_type") == "purchase"
     source = events(spark, folder)
     if days is not None:
         source = source.where(within(source, "ts", *days))
-    return source.select(
-        F.col("event_id").alias("logId"),
-        F.col("user_id").alias("userId"),
-        to_second(F.col("ts")).alias("actionTime"),
-        F.when(purchase, 1).otherwise(0).alias("actionType"),
-        F.when(purchase, F.col("value")).otherwise(0.0).alias("purchaseMoney"),
+    return source.selectExpr(
+        "event_id AS logId",
+        "user_id AS userId",
+        f"{_SECOND} AS actionTime",
+        f"CASE WHEN {_IS_PURCHASE} THEN 1 ELSE 0 END AS actionType",
+        f"CASE WHEN {_IS_PURCHASE} THEN value ELSE 0.0D END AS purchaseMoney",
     )
 
 
@@ -143,69 +132,50 @@ def ad_click_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def ad_clicks_of(event_frame: DataFrame, cities: DataFrame) -> DataFrame:
     """Ad clicks of a static or streaming event frame."""
-    clicks = event_frame.where(F.col("event_type").isin("click", "view"))
-    return clicks.join(cities, F.col("user_id") % 25 == F.col("city_id")).select(
-        "ts",
-        F.col("area").alias("province"),
-        F.col("city_name").alias("city"),
-        "user_id",
-        (F.col("k") % 10).alias("ad_id"),
+    clicks = event_frame.where("event_type IN ('click', 'view')")
+    return clicks.join(cities, clicks.user_id % 25 == cities.city_id).selectExpr(
+        "ts", "area AS province", "city_name AS city", "user_id", "k % 10 AS ad_id"
     )
 
 
 def ad_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The same clicks as log lines; the events of type ``error`` become damaged lines."""
-    clicks = events(spark, folder).where(F.col("event_type").isin("click", "view", "error"))
-    millis = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
-    user, ad = F.col("user_id").cast("string"), (F.col("k") % 10).cast("string")
-    area = F.concat(F.lit("province"), (F.col("user_id") % 5).cast("string"))
-    city = F.concat(F.lit("city"), (F.col("user_id") % 25).cast("string"))
-    good = F.concat_ws(" ", millis, area, city, user, ad)
-    short = F.concat_ws(" ", millis, area, city, user)
-    text_user = F.concat_ws(" ", millis, area, city, F.concat(F.lit("u"), user), ad)
-    damaged = F.when(F.col("event_id") % 2 == 0, short).otherwise(text_user)
-    return clicks.select(
-        F.col("event_id"),
-        F.when(F.col("event_type") == "error", damaged).otherwise(good).alias("value"),
+    head = (
+        "CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS STRING), concat('province', CAST(user_id % 5 AS STRING)),"
+        " concat('city', CAST(user_id % 25 AS STRING))"
+    )
+    user, ad = "CAST(user_id AS STRING)", "CAST(k % 10 AS STRING)"
+    return (
+        events(spark, folder)
+        .where("event_type IN ('click', 'view', 'error')")
+        .selectExpr(
+            f"CASE WHEN event_type <> 'error' THEN concat_ws(' ', {head}, {user}, {ad})"
+            f" WHEN event_id % 2 = 0 THEN concat_ws(' ', {head}, {user})"
+            f" ELSE concat_ws(' ', {head}, concat('u', {user}), {ad}) END AS value"
+        )
     )
 
 
 def action_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The action log as JSON lines. Ids of ``error`` events get a leading zero, which is no JSON."""
-    log = events(spark, folder)
-    purchase = F.col("event_type") == "purchase"
-    number = F.col("event_id").cast("string")
-    text = F.concat(
-        F.lit('{"logId": '),
-        F.when(F.col("event_type") == "error", F.concat(F.lit("0"), number)).otherwise(number),
-        F.lit(',"userId": '),
-        F.col("user_id").cast("string"),
-        F.lit(', "actionTime": "'),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
-        F.lit('", "actionType": '),
-        F.when(purchase, "1").otherwise("0"),
-        F.lit(', "purchaseMoney": '),
-        F.when(purchase, F.col("value").cast("string")).otherwise("0.0"),
-        F.lit("}"),
+    return events(spark, folder).selectExpr(
+        """concat('{"logId": ', CASE WHEN event_type = 'error' THEN '0' ELSE '' END, CAST(event_id AS STRING),
+                  ',"userId": ', CAST(user_id AS STRING),
+                  ', "actionTime": "', date_format(ts, 'yyyy-MM-dd HH:mm:ss'),
+                  '", "actionType": ', CASE WHEN event_type = 'purchase' THEN '1' ELSE '0' END,
+                  ', "purchaseMoney": ',
+                  CASE WHEN event_type = 'purchase' THEN CAST(value AS STRING) ELSE '0.0' END, '}') AS value"""
     )
-    return log.select(text.alias("value"))
 
 
 def tasks(spark: SparkSession, folder: str) -> DataFrame:
     """A task record per customer, with parameters that depend on the customer."""
-    key = F.col("c_custkey")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (key % 20).cast("int")).cast("string")
-    param = F.concat(
-        F.lit('{"startDate":"'),
-        day,
-        F.lit(' 10:00:00","endDate":"2024-01-30 10:00:00","startAge":'),
-        (20 + key % 10).cast("string"),
-        F.lit(',"endAge":"'),
-        (50 + key % 10).cast("string"),
-        F.lit('","keywords":"kw'),
-        (key % 12).cast("string"),
-        F.lit(',kw1","targetPageFlow":"1,2,3"}'),
-    )
-    return _read(spark, folder, "customer", _CUSTOMER).select(
-        key.alias("task_id"), F.concat(F.lit("task "), F.col("c_name")).alias("task_name"), param.alias("task_param")
+    return _read(spark, folder, "customer", _CUSTOMER).selectExpr(
+        "c_custkey AS task_id",
+        "concat('task ', c_name) AS task_name",
+        """concat('{"startDate":"', CAST(date_add(DATE '2024-01-01', CAST(c_custkey % 20 AS INT)) AS STRING),
+                  ' 10:00:00","endDate":"2024-01-30 10:00:00","startAge":', CAST(20 + c_custkey % 10 AS STRING),
+                  ',"endAge":"', CAST(50 + c_custkey % 10 AS STRING),
+                  '","keywords":"kw', CAST(c_custkey % 12 AS STRING), ',kw1","targetPageFlow":"1,2,3"}')
+           AS task_param""",
     )

@@ -36,7 +36,7 @@ def split_ids(comma_list: Column) -> Column:
 
 def join_sorted(values: Column) -> Column:
     """Array to a sorted comma string; NULL for an empty array."""
-    texts = F.transform(F.array_sort(values), lambda v: v.cast("string"))
+    texts = F.sort_array(values).cast("array<string>")
     return F.nullif(F.array_join(texts, ","), F.lit(""))
 
 

@@ -6,24 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footfall.functions.texts import split_ids
-
 TOP = 10
 
 
-def category_touches(actions: DataFrame) -> DataFrame:
-    """One row per category an action clicks, orders or pays for."""
+def _ids(lists: DataFrame, *keep: str) -> DataFrame:
+    """One row per id of the comma lists in ``ids``; parts that are no number are left out."""
+    parts = lists.where("ids IS NOT NULL").select(*keep, F.explode(F.split("ids", ",")).alias("part"))
+    numbers = parts.select(*keep, F.col("part").try_cast("bigint").alias("category_id"))
+    return numbers.where(F.col("category_id").isNotNull())
 
-    def tagged(kind: str, ids):
-        return F.transform(ids, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("category_id")))
 
-    clicks = F.array_compact(F.array("click_category_id"))
-    touches = F.concat(
-        tagged("click", clicks),
-        tagged("order", F.coalesce(split_ids(F.col("order_category_ids")), F.array().cast("array<bigint>"))),
-        tagged("pay", F.coalesce(split_ids(F.col("pay_category_ids")), F.array().cast("array<bigint>"))),
+def category_touches(actions: DataFrame) -> DataFrame:
+    """One row per category an action clicks, orders or pays for."""
+    lists = actions.selectExpr(
+        "stack(3, 'click', CAST(click_category_id AS STRING), 'order', order_category_ids,"
+        " 'pay', pay_category_ids) AS (kind, ids)"
     )
-    return actions.select(F.inline(touches))
+    return _ids(lists, "kind")
 
 
 def category_counts(actions: DataFrame) -> DataFrame:
@@ -45,9 +44,7 @@ def clicks_per_category(actions: DataFrame) -> DataFrame:
 
 def listed_per_category(actions: DataFrame, column: str, alias: str) -> DataFrame:
     """Occurrences of each category in a comma list column."""
-    listed = actions.where(F.col(column).isNotNull()).select(
-        F.explode(split_ids(F.col(column))).alias("category_id")
-    )
+    listed = _ids(actions.select(F.col(column).alias("ids")))
     return listed.groupBy("category_id").agg(F.count(F.lit(1)).alias(alias))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.functions.documents import json_field
-from footfall.functions.texts import concat_long_string, salt
+from footfall.functions.texts import concat_long_string, join_sorted, salt
 
 # Labels of the results, and which areas belong to which level.
 LEVEL_LABELS = {"A": "A级地区", "B": "B级地区", "C": "C级地区", "D": "D级地区", "E": "E级地区"}
@@ -33,11 +33,6 @@ def _label() -> Column:
     return concat_long_string(F.col("city_id"), F.col("city_name"))
 
 
-def _city_infos(labels: Column) -> Column:
-    """Distinct labels in text order; NULL, not empty, where every label is NULL."""
-    return F.nullif(F.array_join(F.array_sort(labels), ","), F.lit(""))
-
-
 def area_product_counts(clicks: DataFrame, cities: DataFrame) -> DataFrame:
     """Clicks and cities of each product in each area.
 
@@ -49,14 +44,14 @@ def area_product_counts(clicks: DataFrame, cities: DataFrame) -> DataFrame:
     return (
         per_city.join(cities, "city_id")
         .groupBy("area", "product_id")
-        .agg(F.sum("clicks").alias("click_count"), _city_infos(F.collect_set(_label())).alias("city_infos"))
+        .agg(F.sum("clicks").alias("click_count"), join_sorted(F.collect_set(_label())).alias("city_infos"))
     )
 
 
 def area_product_counts_direct(basic: DataFrame) -> DataFrame:
     """The same counts straight from :func:`area_clicks`."""
     return basic.groupBy("area", "product_id").agg(
-        F.count(F.lit(1)).alias("click_count"), _city_infos(F.collect_set(_label())).alias("city_infos")
+        F.count(F.lit(1)).alias("click_count"), join_sorted(F.collect_set(_label())).alias("city_infos")
     )
 
 
@@ -72,7 +67,7 @@ def area_product_counts_salted(basic: DataFrame, buckets: int, row_key: Sequence
     )
     return parts.groupBy("area", "product_id").agg(
         F.sum("clicks").alias("click_count"),
-        _city_infos(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("city_infos"),
+        join_sorted(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("city_infos"),
     )
 
 

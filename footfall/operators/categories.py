@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOP = 10
+# A broadcast of keys stays below some megabytes. More keys than this are joined by shuffling.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def _ids(lists: DataFrame, *keep: str) -> DataFrame:
@@ -68,8 +70,12 @@ def top_categories(counts: DataFrame, top: int = TOP) -> DataFrame:
     return counts.orderBy(*order).limit(top)
 
 
-def session_clicks(actions: DataFrame, categories: DataFrame) -> DataFrame:
-    """Clicks per (category, session) for a handful of categories, such as the top ones.
+def _few(keys: DataFrame, at_most: int) -> DataFrame:
+    return F.broadcast(keys) if at_most <= MAX_BROADCAST_ROWS else keys
+
+
+def session_clicks(actions: DataFrame, categories: DataFrame, at_most: int = TOP) -> DataFrame:
+    """Clicks per (category, session) for a choice of ``at_most`` categories, such as the top ones.
 
     The join comes first, without a shuffle, and drops all other clicks. Counting then shrinks each
     input partition to one row per category and session.
@@ -77,8 +83,8 @@ def session_clicks(actions: DataFrame, categories: DataFrame) -> DataFrame:
     clicked = actions.where(F.col("click_category_id").isNotNull()).select(
         F.col("click_category_id").alias("category_id"), "session_id"
     )
-    few = F.broadcast(categories.select("category_id"))
-    return clicked.join(few, "category_id").groupBy("category_id", "session_id").agg(
+    wanted = _few(categories.select("category_id"), at_most)
+    return clicked.join(wanted, "category_id").groupBy("category_id", "session_id").agg(
         F.count(F.lit(1)).alias("click_count")
     )
 
@@ -90,7 +96,7 @@ def top_sessions(counts: DataFrame, top: int = TOP) -> DataFrame:
     return ranked.select("category_id", "session_id", "click_count")
 
 
-def details_of(actions: DataFrame, few_sessions: DataFrame) -> DataFrame:
-    """All actions of a bounded set of sessions, such as top sessions or a sample."""
-    keys = F.broadcast(few_sessions.select("session_id"))
+def details_of(actions: DataFrame, few_sessions: DataFrame, at_most: int) -> DataFrame:
+    """All actions of a choice of ``at_most`` sessions, such as top sessions or a sample."""
+    keys = _few(few_sessions.select("session_id"), at_most)
     return actions.join(keys, "session_id", "left_semi").select(*actions.columns)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from footfall.functions.numbers import ratio
 
-SLICE_MINUTES = 60
+SLICE_MINUTES = 10
 _SLICE = ("session_id", "slice")
 
 

@@ -16,12 +16,14 @@ def start_ad_clicks(
     tables: AdTables,
     *,
     threshold: int = BLACKLIST_THRESHOLD,
-    every: str | None = "1 second",
-    trend_every: str | None = "10 seconds",
+    every: str | None = "1 minute",
+    trend_every: str | None = "1 minute",
 ) -> list[StreamingQuery]:
     """Start the queries: blacklist with statistics and ranking, minute trend, sliding totals.
 
-    The trend and the sliding totals look at all clicks, also those of blacklisted users.
+    The trend and the sliding totals look at all clicks, also those of blacklisted users. Every
+    micro-batch adds a folder to each day of its tables, so triggers of a second suit short runs and
+    triggers of a minute suit long ones.
     """
     clicks = parse_ad_log(lines).clicks
     return [

@@ -59,11 +59,12 @@ def run_session_analysis(
 
     sample = sampling.session_sample(spans.select("session_id", "start_time"), sample_size, seed)
     sample = materialize(sample, shared_folder(spark, "session-sample", work))
-    detail = categories.details_of(scanned, sample)
+    detail = categories.details_of(scanned, sample, sample_size)
     write(sessions.session_lists(detail), "session_random_extract")
     write(detail.select(*_DETAIL), "session_detail")
 
     kept = sessions.actions_of(scanned, spans)
     top = write(categories.top_categories(categories.category_counts(kept)), "top10_category")
     best = write(categories.top_sessions(categories.session_clicks(kept, top)), "top10_category_session")
-    write(categories.details_of(scanned, best).select(*_DETAIL), "top10_session_detail")
+    best_detail = categories.details_of(scanned, best, categories.TOP**2)
+    write(best_detail.select(*_DETAIL), "top10_session_detail")

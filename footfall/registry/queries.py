@@ -138,12 +138,13 @@ def _sample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def session_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return sessions.session_lists(categories.details_of(_actions(spark, folder), _sample(spark, folder)))
+    details = categories.details_of(_actions(spark, folder), _sample(spark, folder), S.SAMPLE_SIZE)
+    return sessions.session_lists(details)
 
 
 @query
 def session_sample_detail(spark: SparkSession, folder: str) -> DataFrame:
-    return categories.details_of(_actions(spark, folder), _sample(spark, folder))
+    return categories.details_of(_actions(spark, folder), _sample(spark, folder), S.SAMPLE_SIZE)
 
 
 # --- categories
@@ -194,7 +195,7 @@ def top10_session_per_category(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def top10_session_detail(spark: SparkSession, folder: str) -> DataFrame:
-    return categories.details_of(_actions(spark, folder), _top_sessions(spark, folder))
+    return categories.details_of(_actions(spark, folder), _top_sessions(spark, folder), categories.TOP**2)
 
 
 # --- page flows

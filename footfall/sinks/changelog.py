@@ -51,15 +51,16 @@ class ChangeLog:
     def rows(
         self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
     ) -> DataFrame:
-        log = read_or_empty(spark, self.path, self.schema)
-        if days is not None:
-            log = log.where(F.col(self.day).isin(list(days)))
-        if upto is not None:
-            log = log.where(F.col(BATCH) <= upto)
-        return log
+        """The log. Naming days reads, and lists, the folders of those days only."""
+        log = read_or_empty(spark, self.path, self.schema, self._folder(days))
+        return log if upto is None else log.where(F.col(BATCH) <= upto)
 
     def of_batch(self, spark: SparkSession, batch_id: int, days: Sequence[dt.date] | None = None) -> DataFrame:
-        return self.rows(spark, days).where(F.col(BATCH) == batch_id).drop(BATCH)
+        folder = f"{self._folder(days) or '*'}/{BATCH}={batch_id}"
+        return read_or_empty(spark, self.path, self.schema, folder).drop(BATCH)
+
+    def _folder(self, days: Sequence[dt.date] | None) -> str | None:
+        return None if days is None else f"{self.day}={{{','.join(str(d) for d in days)}}}"
 
     def latest(
         self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
@@ -80,10 +81,13 @@ class ChangeLog:
         into.write_batch(folded, 0)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The table at ``path``, or no rows before anything was written there."""
+def read_or_empty(
+    spark: SparkSession, path: str, schema: T.StructType | str, folder: str | None = None
+) -> DataFrame:
+    """The table at ``path``, or some folders of it; no rows before anything was written there."""
+    reader = spark.read.schema(schema).option("basePath", path)
     try:
-        return spark.read.schema(schema).parquet(path)
+        return reader.parquet(path if folder is None else f"{path}/{folder}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

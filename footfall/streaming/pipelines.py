@@ -22,7 +22,7 @@ from footfall.streaming.tables import AdTables
 def _start(writer: DataStreamWriter, tables: AdTables, name: str, every: str | None) -> StreamingQuery:
     """Run every so often, or once over everything that is there now."""
     timed = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return timed.queryName(name).option("checkpointLocation", tables.checkpoint(name)).start()
+    return timed.queryName(f"{name} in {tables.base}").option("checkpointLocation", tables.checkpoint(name)).start()
 
 
 def refresh_province_top3(tables: AdTables, stat_of_days: DataFrame) -> None:

@@ -33,7 +33,7 @@ class BatchTable:
         return read_or_empty(spark, self.path, self.schema)
 
     def of_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return self._rows(spark).where(F.col(BATCH) == batch_id).drop(BATCH)
+        return read_or_empty(spark, self.path, self.schema, f"{BATCH}={batch_id}").drop(BATCH)
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return self._rows(spark).where(F.col(BATCH) < batch_id).drop(BATCH)
@@ -44,6 +44,8 @@ class BatchTable:
 
 class AdTables:
     def __init__(self, base: str) -> None:
+        self.base = base
+
         def at(name: str) -> str:
             return os.path.join(base, name)
 

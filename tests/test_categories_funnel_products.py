@@ -53,7 +53,8 @@ def test_top_sessions_break_ties_by_id(spark):
     few = spark.createDataFrame([(7,)], "category_id bigint")
     top = categories.top_sessions(categories.session_clicks(actions, few), 2)
     assert sorted(tuple(r) for r in top.collect()) == [(7, "a", 2), (7, "c", 3)]
-    assert categories.details_of(actions, top).count() == 5
+    assert categories.details_of(actions, top, 4).count() == 5
+    assert categories.details_of(actions, top, 10**9).count() == 5
 
 
 def _brute_pairs(rows):

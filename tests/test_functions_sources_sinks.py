@@ -258,7 +258,7 @@ def test_whole_session_analysis(spark, sf_dir, tmp_path):
     assert _rows(first["top10_category"]) == _rows(top)
     best = categories.top_sessions(categories.session_clicks(kept, top))
     assert _rows(first["top10_category_session"]) == _rows(best)
-    assert first["top10_session_detail"].count() == categories.details_of(scanned, best).count()
+    assert first["top10_session_detail"].count() == categories.details_of(scanned, best, 100).count()
 
 
 def test_whole_page_flow_and_products(spark, sf_dir, tmp_path):

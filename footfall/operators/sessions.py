@@ -159,6 +159,6 @@ def session_lists(actions: DataFrame) -> DataFrame:
     )
 
 
-def actions_of(actions: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The actions of some sessions; nothing of the sessions themselves is kept."""
-    return actions.join(sessions.select("session_id"), "session_id", "left_semi").select(*actions.columns)
+def rows_of(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The rows, such as actions or counts, of some sessions; nothing of the sessions is added."""
+    return rows.join(sessions.select("session_id"), "session_id", "left_semi").select(*rows.columns)

@@ -63,8 +63,10 @@ def run_session_analysis(
     write(sessions.session_lists(detail), "session_random_extract")
     write(detail.select(*_DETAIL), "session_detail")
 
-    kept = sessions.actions_of(scanned, spans)
+    kept = sessions.rows_of(scanned, spans)
     top = write(categories.top_categories(categories.category_counts(kept)), "top10_category")
-    best = write(categories.top_sessions(categories.session_clicks(kept, top)), "top10_category_session")
+    # Few clicks fall on the top categories: counting them first leaves little to match to sessions.
+    clicks = sessions.rows_of(categories.session_clicks(scanned, top), spans)
+    best = write(categories.top_sessions(clicks), "top10_category_session")
     best_detail = categories.details_of(scanned, best, categories.TOP**2)
     write(best_detail.select(*_DETAIL), "top10_session_detail")

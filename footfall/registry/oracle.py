@@ -425,7 +425,7 @@ ORACLE: dict[str, str] = {
     ),
     "ad_count_lookup": _with(
         "SELECT * FROM user_counts WHERE (date, user_id, ad_id) IN"
-        " (SELECT (date, user_id, ad_id) FROM ad_click_log WHERE province = 'ASIA')",
+        " (SELECT (CAST(ts AS DATE), user_id, k % 10) FROM v_ev WHERE event_type = 'purchase')",
         "user_counts",
     ),
     "ad_stat": _with("SELECT * FROM stat", "stat"),

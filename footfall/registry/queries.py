@@ -151,7 +151,7 @@ def session_sample_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _filtered_actions(spark: SparkSession, folder: str) -> DataFrame:
-    return sessions.actions_of(_actions(spark, folder), _spans(spark, folder, S.ALL_FILTERS))
+    return sessions.rows_of(_actions(spark, folder), _spans(spark, folder, S.ALL_FILTERS))
 
 
 @query
@@ -184,8 +184,9 @@ def top10_category(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _top_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    counts = categories.session_clicks(_filtered_actions(spark, folder), _top_categories(spark, folder))
-    return categories.top_sessions(counts)
+    # Few clicks fall on the top categories: counting them first leaves little to match to sessions.
+    counts = categories.session_clicks(_actions(spark, folder), _top_categories(spark, folder))
+    return categories.top_sessions(sessions.rows_of(counts, _spans(spark, folder, S.ALL_FILTERS)))
 
 
 @query
@@ -373,9 +374,9 @@ def ad_blacklist_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ad_count_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    clicks = star.ad_click_log(spark, folder)
-    batch = adclicks.user_daily_counts(clicks.where(F.col("province") == "ASIA"))
-    return adclicks.counts_of(batch, adclicks.user_daily_counts(clicks))
+    bought = star.events(spark, folder).where("event_type = 'purchase'")
+    keys = bought.selectExpr("CAST(ts AS DATE) AS date", "user_id", "k % 10 AS ad_id")
+    return adclicks.counts_of(keys, adclicks.user_daily_counts(star.ad_click_log(spark, folder)))
 
 
 @query

@@ -253,7 +253,7 @@ def test_whole_session_analysis(spark, sf_dir, tmp_path):
     assert _rows(first["session_random_extract"]) == _rows(sample)
     detail = scanned.join(sample.select("session_id"), "session_id", "left_semi")
     assert _rows(first["session_detail"]) == _rows(detail.select(first["session_detail"].columns))
-    kept = sessions.actions_of(scanned, kept_sessions)
+    kept = sessions.rows_of(scanned, kept_sessions)
     top = categories.top_categories(categories.category_counts(kept))
     assert _rows(first["top10_category"]) == _rows(top)
     best = categories.top_sessions(categories.session_clicks(kept, top))

@@ -116,10 +116,10 @@ def test_missing_age_fails_an_age_filter(spark, users):
     assert sessions.matching_spans(actions, users, TaskParams(start_age=0, end_age=200)).count() == 0
 
 
-def test_actions_of_keeps_rows_once(spark, users):
+def test_rows_of_keeps_rows_once(spark, users):
     actions = frame(spark, [action("a", 1, 0), action("a", 1, 0), action("b", 99, 0)])
     spans = sessions.matching_spans(actions, users, TaskParams())
-    kept = sessions.actions_of(actions, spans)
+    kept = sessions.rows_of(actions, spans)
     assert kept.count() == 2 and kept.columns == actions.columns
 
 

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from footfall.registry import QUERIES
+from footfall.registry.oracle import ORACLE
 from oracle_check import connect, difference
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +16,8 @@ def connection(sf_dir):
 
 def test_all_queries_have_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= entry_points.queries().items()
+    assert ORACLE.items() <= entry_points.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

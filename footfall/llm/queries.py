@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import exact_dedup, simhash, sketches
-from footfall.llm.common import table
+from footfall.llm import bpe, exact_dedup, packing, simhash, sketches, token_files
+from footfall.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,11 +25,29 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"), digest_all=True)
 
 
+@query
+def op4_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, folder, "documents"), path, end_id=0)
+
+
+@query
+def op5_token_orc(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    target = Scratch(spark, "token-orc").path
+    return token_files.store_and_locate(table(spark, folder, "documents"), path, end_id=2, folder=target)
+
+
 @query
 def op6_scaled_sketches(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.edited_likeness(table(spark, folder, "documents"))
 
 
+@query
+def op8_bpe_backtracking(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))

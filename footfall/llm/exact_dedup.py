@@ -63,6 +63,7 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_a
     groups = members.groupBy("n_bytes", "text_sha256").agg(
         F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")
     )
+    groups = scratch.table(groups, "groups")  # so that the join has two plain exchanges, which can be split
     together = members.join(groups, ["n_bytes", "text_sha256"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),

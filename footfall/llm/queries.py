@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import bpe, exact_dedup, packing, simhash, sketches, token_files
+from footfall.llm import bpe, exact_dedup, packing, simhash, sketches, token_files, transducer
 from footfall.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"), digest_all=True)
 
 
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return transducer.token_counts(table(spark, folder, "documents"), path, limit=4096)
+
+
 @query
 def op4_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")

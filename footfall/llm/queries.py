@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import bpe, exact_dedup, packing, simhash, sketches, token_files, transducer
+from footfall.llm import bpe, exact_dedup, packing, simhash, sketches, token_files, transducer, warc
 from footfall.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.store_and_index(table(spark, folder, "pages"), Scratch(spark, "warc"))
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Exact duplicates of ``documents``; the digest column is asked for all rows."""

@@ -16,6 +16,8 @@ BATCH_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
+# Jobs of several steps write each step out; its shuffle files are then of no more use and go at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
@@ -32,6 +34,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, purpose: str):
+        spark.conf.set(CLEANUP, "true")
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
         self.path = shared_folder(spark, purpose, fallback=tempfile.gettempdir() if local else None)
 

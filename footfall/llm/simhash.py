@@ -18,6 +18,7 @@ RADIUS = 4
 SEED = 42
 PASSES = 4
 VARIANTS_PER_TASK = 2_000_000
+PRINTS_PER_TASK = 4096
 
 # An odd multiplier and its inverse modulo 2**64. Multiplying spreads variants evenly over the buckets.
 SPREAD = 0x9E3779B97F4A7C15
@@ -86,13 +87,14 @@ def links(prints: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS,
     packed arrays, ten bytes each. The buckets are worked off in ``passes`` rounds, which bounds the disk in use;
     their number follows ``count``, so a task's memory does not.
     """
-    if radius % 2:
-        raise ValueError("the radius must be even")
-    spark = prints.sparkSession
+    if radius % 2 or passes & (passes - 1) or passes < 2:
+        raise ValueError("the radius must be even and the passes a power of two")
+    prints = prints.select("fp").repartition(1 + count // PRINTS_PER_TASK, "fp")
     masks = ball(radius // 2)
     bits = max(3, int(count * len(masks) / passes / VARIANTS_PER_TASK).bit_length())
     buckets = 1 << bits
-    shift = np.uint64(64 - bits)
+    high = np.uint64(65 - passes.bit_length())
+    shift = high - np.uint64(bits)
 
     def emit_pass(turn: int):
         def emit(batches):
@@ -101,12 +103,13 @@ def links(prints: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS,
                 for first in range(0, len(every), 1024):
                     variants = every[first : first + 1024, None] ^ masks[None, :]
                     keys = (variants * np.uint64(SPREAD)).ravel()
-                    # The low bits choose the pass, the high bits the bucket.
-                    chosen = np.flatnonzero(keys % np.uint64(passes) == np.uint64(turn))
+                    # The highest bits choose the pass, the next ones the bucket.
+                    chosen = np.flatnonzero(keys >> high == np.uint64(turn))
                     keys = keys[chosen]
                     order = np.argsort(keys)
                     keys, flips = keys[order], (chosen[order] % len(masks)).astype("<u2")
-                    ends = np.searchsorted(keys >> shift, np.arange(buckets, dtype=np.uint64), side="right")
+                    bounds = np.arange(turn * buckets, (turn + 1) * buckets, dtype=np.uint64)
+                    ends = np.searchsorted(keys >> shift, bounds, side="right")
                     starts = np.concatenate([[0], ends[:-1]])
                     full = np.flatnonzero(ends > starts)
                     yield pa.RecordBatch.from_arrays(
@@ -136,10 +139,9 @@ def links(prints: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS,
 
     found = None
     for turn in range(passes):
-        sent = prints.select("fp").mapInArrow(emit_pass(turn), "bucket int, keys binary, flips binary")
+        sent = prints.mapInArrow(emit_pass(turn), "bucket int, keys binary, flips binary")
         met = sent.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long")
         part = scratch.table(met, f"met-{turn}")
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the pass
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
@@ -156,7 +158,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     scratch = Scratch(spark, "simhash")
     every = scratch.table(fingerprints(docs, words), "prints")
     distinct = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    found = links(distinct.repartition("fp"), distinct.count(), scratch, radius)
+    found = links(distinct, distinct.count(), scratch, radius)
     roots = connected_components(found, scratch)
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")

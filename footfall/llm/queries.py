@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import bpe, exact_dedup, packing, simhash, sketches, token_files, transducer, warc
+from footfall.llm import bpe, exact_dedup, language, packing, simhash, sketches, token_files, transducer, warc
 from footfall.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,8 @@ def op8_bpe_backtracking(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict_held_out(table(spark, folder, "documents"))

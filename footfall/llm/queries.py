@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import bpe, exact_dedup, language, packing, simhash, sketches, token_files, transducer, warc
+from footfall.llm import bpe, exact_dedup, language, line_dedup, packing, simhash, sketches, token_files, transducer, warc
 from footfall.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,11 @@ def op6_scaled_sketches(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.edited_likeness(table(spark, folder, "documents"))
 
 
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(table(spark, folder, "documents"))
+
+
 @query
 def op8_bpe_backtracking(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -67,3 +73,8 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict_held_out(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

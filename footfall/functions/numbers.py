@@ -55,6 +55,19 @@ def ratio(part: Column, total: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part.cast("double"), total.cast("double")), digits)
 
 
+def exact_money(amount: Column) -> Column:
+    """Money as an exact number: sums do not depend on the order of addition.
+
+    NULL for what is no amount of money: NaN, infinity and numbers of 1e28 or more.
+    """
+    return amount.try_cast("decimal(38,10)")
+
+
+def is_unusable_money(amount: Column) -> Column:
+    """Whether an amount is there but can't be added."""
+    return amount.isNotNull() & exact_money(amount).isNull()
+
+
 def money_sum(amount: Column, digits: int = 2) -> Column:
-    """Sum of money, added exactly and so in any order, then rounded once."""
-    return F.round(F.sum(amount.cast("decimal(18,6)")), digits).cast("double")
+    """Sum of money, added exactly and so in any order, then rounded once. Unusable amounts are left out."""
+    return F.round(F.try_sum(exact_money(amount)), digits).cast("double")

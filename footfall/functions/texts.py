@@ -10,10 +10,6 @@ def is_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) == ""
 
 
-def is_not_empty(text: Column) -> Column:
-    return ~is_empty(text)
-
-
 def trim_comma(text: Column) -> Column:
     """Drop one comma from each end."""
     return F.regexp_replace(text, "^,|,$", "")
@@ -50,13 +46,16 @@ def get_field(packed: Column, field: str, separator: str = "|") -> Column:
 
 
 def set_field(packed: Column, field: str, value: Column, separator: str = "|") -> Column:
-    """Replace the value of the first part named ``field``; other parts stay as they are."""
+    """Replace the value of the first part named ``field``; other parts stay as they are.
+
+    A NULL value leaves the field there, without a value.
+    """
     parts = _parts(F.rtrim(packed, F.lit(separator)), separator)
     names = F.transform(parts, lambda p: F.split_part(p, F.lit("="), F.lit(1)))
     hit = F.array_position(names, F.lit(field))
     replaced = F.transform(
         parts,
-        lambda p, i: F.when(i + 1 == hit, F.concat(F.lit(field + "="), value)).otherwise(p),
+        lambda p, i: F.when(i + 1 == hit, F.concat(F.lit(field + "="), F.coalesce(value, F.lit("")))).otherwise(p),
     )
     return F.array_join(replaced, separator)
 

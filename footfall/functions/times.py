@@ -59,11 +59,6 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("SECOND", earlier, later)
 
 
-def to_second(ts: Column) -> Column:
-    """Drop the fraction of a second."""
-    return F.date_trunc("second", ts).cast("timestamp_ntz")
-
-
 def yesterday(as_of: Column) -> Column:
     return F.date_sub(F.to_date(as_of), 1)
 

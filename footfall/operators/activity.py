@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.numbers import money_sum
+from footfall.functions.numbers import exact_money, is_unusable_money, money_sum
 from footfall.functions.times import shift_days, within
 
 Period = tuple[str, str]
@@ -21,15 +21,15 @@ def log_in_period(log: DataFrame, action_type: int, period: Period) -> DataFrame
     return log.where((F.col("actionType") == action_type) & within(log, "actionTime", *period))
 
 
+def unusable_purchases(log: DataFrame, period: Period) -> DataFrame:
+    """Purchases whose amount can't be added, such as NaN. The rankings leave these amounts out."""
+    return log_in_period(log, PURCHASE, period).where(is_unusable_money(F.col("purchaseMoney")))
+
+
 def _named(per_user: DataFrame, users: DataFrame, metric: str) -> DataFrame:
     """Add the user name. Groups again, without a shuffle, so that repeated user rows add up."""
     joined = per_user.join(users.select("userId", "username"), "userId")
-    return joined.groupBy("userId", "username").agg(F.sum(metric).alias(metric))
-
-
-def _exact(amount: Column) -> Column:
-    """Money as an exact number: sums do not depend on the order of addition."""
-    return amount.cast("decimal(18,6)")
+    return joined.groupBy("userId", "username").agg(F.try_sum(metric).alias(metric))
 
 
 def _rounded(totals: DataFrame, metric: str) -> DataFrame:
@@ -48,23 +48,28 @@ def top_visits(log: DataFrame, users: DataFrame, period: Period, top: int = TOP)
 def top_spend(log: DataFrame, users: DataFrame, period: Period, top: int = TOP) -> DataFrame:
     metric = "totalPurchaseMoney"
     per_user = log_in_period(log, PURCHASE, period).groupBy("userId").agg(
-        F.sum(_exact(F.col("purchaseMoney"))).alias(metric)
+        F.try_sum(exact_money(F.col("purchaseMoney"))).alias(metric)
     )
     return top_users(_rounded(_named(per_user, users, metric), metric), metric, top)
 
 
 def signed_periods(log: DataFrame, action_type: int, current: Period, previous: Period) -> DataFrame:
-    """Log rows of both periods: those of the current one count up, those of the previous one down."""
+    """Log rows of both periods: those of the current one count up, those of the previous one down.
+
+    One scan; a row that lies in both periods gives two rows.
+    """
+    now, before = within(log, "actionTime", *current), within(log, "actionTime", *previous)
+    signs = F.array(F.when(now, F.lit(1).cast("bigint")), F.when(before, F.lit(-1).cast("bigint")))
+    rows = log.where((F.col("actionType") == action_type) & (now | before))
+    signed = rows.select("logId", "userId", "purchaseMoney", F.explode(F.array_compact(signs)).alias("actionValue"))
+    return signed.select(
+        "logId", "userId", "actionValue", (F.col("purchaseMoney") * F.col("actionValue")).alias("purchaseMoney")
+    )
 
-    def signed(period: Period, sign: int) -> DataFrame:
-        return log_in_period(log, action_type, period).select(
-            "logId",
-            "userId",
-            F.lit(sign).cast("bigint").alias("actionValue"),
-            (F.col("purchaseMoney") * sign).alias("purchaseMoney"),
-        )
 
-    return signed(current, 1).unionByName(signed(previous, -1))
+def span_of(current: Period, previous: Period) -> Period:
+    """The days from the first of both periods to the last."""
+    return min(current[0], previous[0]), max(current[1], previous[1])
 
 
 def _growth(log: DataFrame, action_type: int, current: Period, previous: Period, value: Column) -> DataFrame:
@@ -72,7 +77,7 @@ def _growth(log: DataFrame, action_type: int, current: Period, previous: Period,
     now, before = within(log, "actionTime", *current), within(log, "actionTime", *previous)
     sign = now.cast("int") - before.cast("int")
     rows = log.where((F.col("actionType") == action_type) & (now | before))
-    return rows.groupBy("userId").agg(F.sum(value * sign).alias("growth"))
+    return rows.groupBy("userId").agg(F.try_sum(value * sign).alias("growth"))
 
 
 def visit_growth(
@@ -86,7 +91,7 @@ def visit_growth(
 def spend_growth(
     log: DataFrame, users: DataFrame, current: Period, previous: Period, top: int = TOP
 ) -> DataFrame:
-    per_user = _growth(log, PURCHASE, current, previous, _exact(F.col("purchaseMoney")))
+    per_user = _growth(log, PURCHASE, current, previous, exact_money(F.col("purchaseMoney")))
     totals = _rounded(_named(per_user, users, "growth"), "growth")
     return top_users(totals.withColumnRenamed("growth", "purchaseMoneyIncr"), "purchaseMoneyIncr", top)
 

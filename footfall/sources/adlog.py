@@ -13,15 +13,25 @@ class ParsedLog(NamedTuple):
     quarantine: DataFrame
 
 
-def parse_ad_log(lines: DataFrame, column: str = "value") -> ParsedLog:
+# Times before 1970 or from 2200 on are damaged numbers, not times.
+EARLIEST_MILLIS = 0
+LATEST_MILLIS = 7_258_118_400_000
+
+
+def parse_ad_log(
+    lines: DataFrame, column: str = "value", earliest: int = EARLIEST_MILLIS, latest: int = LATEST_MILLIS
+) -> ParsedLog:
     """Split lines into typed clicks. Works on static and on streaming frames.
 
-    A line with fewer than five fields, or with text where a number belongs, is quarantined whole.
+    A line without exactly five fields, with text where a number belongs, or with a time before
+    ``earliest`` or not before ``latest`` is quarantined whole.
     """
     part = F.split(F.col(column), " ")
+    millis = F.get(part, F.lit(0)).try_cast("bigint")
+    plausible = (F.size(part) == 5) & (millis >= earliest) & (millis < latest)
     fields = F.struct(
         F.col(column).alias("line"),
-        F.timestamp_millis(F.get(part, F.lit(0)).try_cast("bigint")).alias("ts"),
+        F.when(plausible, F.timestamp_millis(millis)).alias("ts"),
         F.get(part, F.lit(1)).alias("province"),
         F.get(part, F.lit(2)).alias("city"),
         F.get(part, F.lit(3)).try_cast("bigint").alias("user_id"),

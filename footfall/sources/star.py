@@ -139,7 +139,7 @@ def ad_clicks_of(event_frame: DataFrame, cities: DataFrame) -> DataFrame:
 
 
 def ad_log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The same clicks as log lines; the events of type ``error`` become damaged lines."""
+    """The same clicks as log lines; the events of type ``error`` become lines damaged in five ways."""
     head = (
         "CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS STRING), concat('province', CAST(user_id % 5 AS STRING)),"
         " concat('city', CAST(user_id % 25 AS STRING))"
@@ -150,21 +150,40 @@ def ad_log_lines(spark: SparkSession, folder: str) -> DataFrame:
         .where("event_type IN ('click', 'view', 'error')")
         .selectExpr(
             f"CASE WHEN event_type <> 'error' THEN concat_ws(' ', {head}, {user}, {ad})"
-            f" WHEN event_id % 2 = 0 THEN concat_ws(' ', {head}, {user})"
-            f" ELSE concat_ws(' ', {head}, concat('u', {user}), {ad}) END AS value"
+            f" WHEN event_id % 5 = 0 THEN concat_ws(' ', {head}, {user})"
+            f" WHEN event_id % 5 = 1 THEN concat_ws(' ', {head}, concat('u', {user}), {ad})"
+            f" WHEN event_id % 5 = 2 THEN concat_ws(' ', '99999999999999999', 'province1', 'city1', {user}, {ad})"
+            f" WHEN event_id % 5 = 3 THEN concat_ws(' ', {head}, {user}, {ad}, '1')"
+            " ELSE '' END AS value"
         )
     )
 
 
 def action_log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The action log as JSON lines. Ids of ``error`` events get a leading zero, which is no JSON."""
+    """The action log as JSON lines; the events of type ``error`` become lines damaged in four ways.
+
+    By ``event_id`` modulo four: an id with a leading zero, which is no JSON; a time that can't be
+    read; a blank line; no line at all.
+    """
     return events(spark, folder).selectExpr(
-        """concat('{"logId": ', CASE WHEN event_type = 'error' THEN '0' ELSE '' END, CAST(event_id AS STRING),
-                  ',"userId": ', CAST(user_id AS STRING),
-                  ', "actionTime": "', date_format(ts, 'yyyy-MM-dd HH:mm:ss'),
+        """CASE WHEN event_type = 'error' AND event_id % 4 = 2 THEN '  '
+                WHEN event_type <> 'error' OR event_id % 4 <> 3 THEN
+           concat('{"logId": ', CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN '0' ELSE '' END,
+                  CAST(event_id AS STRING), ',"userId": ', CAST(user_id AS STRING), ', "actionTime": "',
+                  CASE WHEN event_type = 'error' AND event_id % 4 = 1 THEN 'bad'
+                       ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END,
                   '", "actionType": ', CASE WHEN event_type = 'purchase' THEN '1' ELSE '0' END,
                   ', "purchaseMoney": ',
-                  CASE WHEN event_type = 'purchase' THEN CAST(value AS STRING) ELSE '0.0' END, '}') AS value"""
+                  CASE WHEN event_type = 'purchase' THEN CAST(value AS STRING) ELSE '0.0' END, '}') END AS value"""
+    )
+
+
+def user_base_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Users as JSON lines; every seventh one has a registration time that can't be read."""
+    return user_base_info(spark, folder).selectExpr(
+        """concat('{"userId": ', CAST(userId AS STRING), ', "username": "', username, '", "registTime": "',
+                  CASE WHEN userId % 7 = 0 THEN 'unknown' ELSE date_format(registTime, 'yyyy-MM-dd H:mm:ss') END,
+                  '"}') AS value"""
     )
 
 
@@ -176,6 +195,11 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
         """concat('{"startDate":"', CAST(date_add(DATE '2024-01-01', CAST(c_custkey % 20 AS INT)) AS STRING),
                   ' 10:00:00","endDate":"2024-01-30 10:00:00","startAge":', CAST(20 + c_custkey % 10 AS STRING),
                   ',"endAge":"', CAST(50 + c_custkey % 10 AS STRING),
-                  '","keywords":"kw', CAST(c_custkey % 12 AS STRING), ',kw1","targetPageFlow":"1,2,3"}')
+                  '","professionals":"p', CAST(c_custkey % 3 AS STRING), ',p9","cities":"c',
+                  CAST(c_custkey % 4 AS STRING), '","categoryIds":"', CAST(c_custkey % 10 AS STRING), ',x,50"',
+                  CASE c_custkey % 3 WHEN 0 THEN ',"sex":"male"' WHEN 1 THEN ',"sex":"female"' ELSE '' END,
+                  ',"cycle":"', CASE c_custkey % 2 WHEN 0 THEN 'week' ELSE 'month' END,
+                  '","keywords":"kw', CAST(c_custkey % 12 AS STRING), ',kw1","targetPageFlow":"1,2,',
+                  CAST(c_custkey % 7 AS STRING), '"}')
            AS task_param""",
     )

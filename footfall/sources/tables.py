@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions.times import parse_time_ntz
+from footfall.sources.jsonl import Checked
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -50,14 +51,16 @@ def read_jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 
 
-def typed_actions(raw: DataFrame) -> DataFrame:
-    """Actions whose day and time are strings, with proper types."""
-    return raw.withColumns(
-        {
-            "action_time": parse_time_ntz(F.col("action_time")),
-            "date": F.try_to_date("date", "yyyy-MM-dd"),
-        }
-    )
+def typed_actions(raw: DataFrame) -> Checked:
+    """Actions whose day and time are strings, with proper types.
+
+    Rows with a day or time that can't be read are quarantined as they are.
+    """
+    typed = {"action_time": parse_time_ntz(F.col("action_time")), "date": F.try_to_date("date", "yyyy-MM-dd")}
+    damaged = F.lit(False)
+    for name, value in typed.items():
+        damaged |= F.col(name).isNotNull() & value.isNull()
+    return Checked(raw.where(~damaged).withColumns(typed), raw.where(damaged))
 
 
 def named_view(df: DataFrame, name: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from footfall.functions.texts import split_ids
+
 TOP = 10
-# A broadcast of keys stays below some megabytes. More keys than this are joined by shuffling.
-MAX_BROADCAST_ROWS = 100_000
 
 
 def _ids(lists: DataFrame, *keep: str) -> DataFrame:
@@ -19,12 +19,24 @@ def _ids(lists: DataFrame, *keep: str) -> DataFrame:
 
 
 def category_touches(actions: DataFrame) -> DataFrame:
-    """One row per category an action clicks, orders or pays for."""
-    lists = actions.selectExpr(
-        "stack(3, 'click', CAST(click_category_id AS STRING), 'order', order_category_ids,"
-        " 'pay', pay_category_ids) AS (kind, ids)"
+    """One row per category an action clicks, orders or pays for.
+
+    Clicked ids stay numbers; only lists that are there are split, and an action without any of the
+    three makes no row.
+    """
+
+    def touched(kind: str, ids: Column) -> Column:
+        return F.transform(ids, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("category_id")))
+
+    none = F.array().cast("array<bigint>")
+    clicked = F.array_compact(F.array("click_category_id"))
+    every = F.concat(
+        touched("click", clicked),
+        touched("order", F.coalesce(split_ids(F.col("order_category_ids")), none)),
+        touched("pay", F.coalesce(split_ids(F.col("pay_category_ids")), none)),
     )
-    return _ids(lists, "kind")
+    some = F.coalesce(F.col("click_category_id").cast("string"), "order_category_ids", "pay_category_ids")
+    return actions.where(some.isNotNull()).select(F.inline(every))
 
 
 def category_counts(actions: DataFrame) -> DataFrame:
@@ -70,20 +82,17 @@ def top_categories(counts: DataFrame, top: int = TOP) -> DataFrame:
     return counts.orderBy(*order).limit(top)
 
 
-def _few(keys: DataFrame, at_most: int) -> DataFrame:
-    return F.broadcast(keys) if at_most <= MAX_BROADCAST_ROWS else keys
-
-
-def session_clicks(actions: DataFrame, categories: DataFrame, at_most: int = TOP) -> DataFrame:
-    """Clicks per (category, session) for a choice of ``at_most`` categories, such as the top ones.
+def session_clicks(actions: DataFrame, categories: DataFrame) -> DataFrame:
+    """Clicks per (category, session) for a choice of categories, such as the top ones.
 
-    The join comes first, without a shuffle, and drops all other clicks. Counting then shrinks each
-    input partition to one row per category and session.
+    The join comes first and drops all other clicks. How is left to the sizes: the rows of a limit or
+    a small table are broadcast by themselves, more are shuffled. Counting then shrinks each input
+    partition to one row per category and session.
     """
     clicked = actions.where(F.col("click_category_id").isNotNull()).select(
         F.col("click_category_id").alias("category_id"), "session_id"
     )
-    wanted = _few(categories.select("category_id"), at_most)
+    wanted = categories.select("category_id")
     return clicked.join(wanted, "category_id").groupBy("category_id", "session_id").agg(
         F.count(F.lit(1)).alias("click_count")
     )
@@ -96,7 +105,6 @@ def top_sessions(counts: DataFrame, top: int = TOP) -> DataFrame:
     return ranked.select("category_id", "session_id", "click_count")
 
 
-def details_of(actions: DataFrame, few_sessions: DataFrame, at_most: int) -> DataFrame:
-    """All actions of a choice of ``at_most`` sessions, such as top sessions or a sample."""
-    keys = _few(few_sessions.select("session_id"), at_most)
-    return actions.join(keys, "session_id", "left_semi").select(*actions.columns)
+def details_of(actions: DataFrame, few_sessions: DataFrame) -> DataFrame:
+    """All actions of a choice of sessions, such as top sessions or a sample."""
+    return actions.join(few_sessions.select("session_id"), "session_id", "left_semi").select(*actions.columns)

@@ -51,15 +51,13 @@ def run_session_analysis(
     )
 
     def write(df: DataFrame, table: str) -> DataFrame:
-        path = os.path.join(out, table)
-        replace_task(df, task_id, path)
-        return spark.read.parquet(os.path.join(path, f"task_id={task_id}"))
+        return replace_task(df, task_id, os.path.join(out, table))
 
     write(histogram.session_histogram(spans), "session_aggr_stat")
 
     sample = sampling.session_sample(spans.select("session_id", "start_time"), sample_size, seed)
     sample = materialize(sample, shared_folder(spark, "session-sample", work))
-    detail = categories.details_of(scanned, sample, sample_size)
+    detail = categories.details_of(scanned, sample)
     write(sessions.session_lists(detail), "session_random_extract")
     write(detail.select(*_DETAIL), "session_detail")
 
@@ -68,5 +66,5 @@ def run_session_analysis(
     # Few clicks fall on the top categories: counting them first leaves little to match to sessions.
     clicks = sessions.rows_of(categories.session_clicks(scanned, top), spans)
     best = write(categories.top_sessions(clicks), "top10_category_session")
-    best_detail = categories.details_of(scanned, best, categories.TOP**2)
+    best_detail = categories.details_of(scanned, best)
     write(best_detail.select(*_DETAIL), "top10_session_detail")

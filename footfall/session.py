@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,12 @@ def shared_folder(spark: SparkSession, purpose: str, fallback: str | None = None
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def local_fallback(spark: SparkSession) -> str | None:
+    """A machine-local folder that may stand in for the shared one: for ``local[...]`` sessions only."""
+    master = spark.sparkContext.master
+    return tempfile.gettempdir() if master == "local" or master.startswith("local[") else None
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a table and read it back: cut lineage that survives lost executors."""
     df.write.mode("errorifexists").parquet(path)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def with_task(df: DataFrame, task_id: int) -> DataFrame:
-    """Result rows tagged with the task they belong to."""
-    return df.select(F.lit(task_id).cast("bigint").alias("task_id"), "*")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -18,9 +13,19 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     writer.parquet(path)
 
 
-def replace_task(df: DataFrame, task_id: int, path: str) -> None:
-    """Write the rows of one task; running the task again replaces them."""
-    replace_groups(with_task(df, task_id), path, ["task_id"])
+def replace_task(df: DataFrame, task_id: int, path: str) -> DataFrame:
+    """Write the rows of one task and read them back; running the task again replaces them.
+
+    The task's own folder is overwritten, so a result without rows replaces earlier rows as well.
+    """
+    folder = f"{path}/task_id={int(task_id)}"
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all tasks, each with its ``task_id``."""
+    return spark.read.schema(T.StructType([*schema.fields]).add("task_id", "bigint")).parquet(path)
 
 
 def replace_groups(df: DataFrame, path: str, group_by: list[str]) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 USER_COUNT_KEYS = ("date", "user_id", "ad_id")
 STAT_KEYS = ("date", "province", "city", "ad_id")
 TREND_KEYS = ("date", "hour", "minute", "ad_id")
+PANE_KEYS = ("date", "pane_start", "ad_id")
 BLACKLIST_THRESHOLD = 100
 
 
@@ -26,7 +27,7 @@ def without_blacklisted(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:
 
 
 def user_daily_counts(clicks: DataFrame) -> DataFrame:
-    """Clicks per day, user and ad. Static or streaming."""
+    """Clicks per day, user and ad."""
     return clicks.groupBy(_day(), "user_id", "ad_id").agg(_clicks())
 
 
@@ -45,15 +46,8 @@ def counts_of(keys: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def ad_stat(clicks: DataFrame) -> DataFrame:
-    """Clicks per day, province, city and ad. Static or streaming.
-
-    A stream groups by a window of one day instead, so that its watermark can drop the state of days
-    gone by.
-    """
-    if not clicks.isStreaming:
-        return clicks.groupBy(_day(), "province", "city", "ad_id").agg(_clicks())
-    per_day = clicks.groupBy(F.window("ts", "1 day").alias("w"), "province", "city", "ad_id").agg(_clicks())
-    return per_day.select(F.to_date("w.start").alias("date"), "province", "city", "ad_id", "click_count")
+    """Clicks per day, province, city and ad."""
+    return clicks.groupBy(_day(), "province", "city", "ad_id").agg(_clicks())
 
 
 def province_counts(stat: DataFrame) -> DataFrame:
@@ -77,22 +71,31 @@ def _minute_columns(minute: Column) -> list[Column]:
 
 
 def click_trend(clicks: DataFrame) -> DataFrame:
-    """Clicks per minute and ad. Static or streaming."""
+    """Clicks per minute and ad."""
     per_minute = clicks.groupBy(F.window("ts", "1 minute").alias("w"), "ad_id").agg(_clicks())
     return per_minute.select(*_minute_columns(F.col("w.start")), "ad_id", "click_count")
 
 
 def sliding_totals(clicks: DataFrame, length: str = "60 minutes", slide: str = "10 minutes") -> DataFrame:
-    """Clicks per ad in every window of ``length`` that starts each ``slide``. Static or streaming.
+    """Clicks per ad in every window of ``length`` that starts each ``slide``.
 
     Clicks are first counted in panes as long as the slide. Only panes, not clicks, are copied into
     the windows that overlap them. ``length`` must be a multiple of ``slide``.
     """
+    return windows_of(pane_counts(clicks, slide), length, slide)
+
+
+def pane_counts(clicks: DataFrame, slide: str = "10 minutes") -> DataFrame:
+    """Clicks per ad in stretches as long as the slide."""
     panes = clicks.groupBy(F.window("ts", slide).alias("pane"), "ad_id").agg(_clicks())
-    moment = F.window_time("pane") if clicks.isStreaming else F.col("pane.start")
-    windows = panes.select(moment.alias("moment"), "ad_id", "click_count").groupBy(
-        F.window("moment", length, slide).alias("w"), "ad_id"
+    return panes.select(
+        F.to_date("pane.start").alias("date"), F.col("pane.start").alias("pane_start"), "ad_id", "click_count"
     )
+
+
+def windows_of(panes: DataFrame, length: str = "60 minutes", slide: str = "10 minutes") -> DataFrame:
+    """Panes added up to the windows that overlap them."""
+    windows = panes.groupBy(F.window("pane_start", length, slide).alias("w"), "ad_id")
     return windows.agg(F.sum("click_count").alias("click_count")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "ad_id", "click_count"
     )

@@ -96,6 +96,17 @@ _VIEWS = {
     "stat": """
         SELECT date, province, city, ad_id, count(*) AS click_count FROM ad_click_log
         GROUP BY date, province, city, ad_id""",
+    "sliced": f"""
+        SELECT *, date_diff('day', min(date) OVER (), date) // {S.REPLAY_DAYS} AS slice FROM ad_click_log""",
+    "listed": f"""
+        SELECT user_id, min(slice) AS slice
+        FROM (SELECT slice, user_id FROM sliced GROUP BY slice, date, user_id, ad_id
+              HAVING count(*) >= {S.BLACKLIST_THRESHOLD})
+        GROUP BY user_id""",
+    "clean": """
+        SELECT c.ts, c.date, c.province, c.city, c.user_id, c.ad_id
+        FROM sliced c LEFT JOIN listed l ON c.user_id = l.user_id
+        WHERE l.slice IS NULL OR c.slice <= l.slice""",
     "province_stat": """
         SELECT date, province, ad_id, CAST(sum(click_count) AS BIGINT) AS click_count FROM stat
         GROUP BY date, province, ad_id""",
@@ -116,6 +127,9 @@ _NEEDS = {
     "blacklist": ["user_counts"],
     "stat": ["ad_click_log"],
     "province_stat": ["stat"],
+    "sliced": ["ad_click_log"],
+    "listed": ["sliced"],
+    "clean": ["sliced", "listed"],
     "filtered": ["rollup"],
     "filtered_actions": ["actions", "filtered"],
     "sample": ["rollup"],
@@ -255,7 +269,7 @@ def _top_users(metric: str, value: str, where: str) -> str:
 
 
 _RANGE = (S.START, S.END)
-_MONEY = "CAST(round(sum(CAST(purchaseMoney AS DECIMAL(18,6)){sign}), 2) AS DOUBLE)"
+_MONEY = "CAST(round(sum(CAST(purchaseMoney AS DECIMAL(38,10)){sign}), 2) AS DOUBLE)"
 _SIGN = f"(CASE WHEN {_period('actionTime', S.CURRENT_PERIOD)} THEN 1 ELSE -1 END)"
 _EITHER = f"(({_period('actionTime', S.CURRENT_PERIOD)}) OR ({_period('actionTime', S.PREVIOUS_PERIOD)}))"
 _FIRST_DAYS = (
@@ -263,10 +277,12 @@ _FIRST_DAYS = (
     " AND actionTime < CAST(registTime AS DATE) + INTERVAL '7' DAY"
 )
 _LOG_LINE = """
-    concat('{"logId": ', CASE WHEN event_type = 'error' THEN '0' ELSE '' END, event_id, ',"userId": ', user_id,
-           ', "actionTime": "', strftime(ts, '%Y-%m-%d %H:%M:%S'), '", "actionType": ',
+    CASE WHEN event_id % 4 <> 3 THEN
+    concat('{"logId": ', CASE WHEN event_id % 4 = 0 THEN '0' ELSE '' END, event_id, ',"userId": ', user_id,
+           ', "actionTime": "', CASE WHEN event_id % 4 = 1 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END,
+           '", "actionType": ',
            CASE WHEN event_type = 'purchase' THEN '1' ELSE '0' END, ', "purchaseMoney": ',
-           CASE WHEN event_type = 'purchase' THEN CAST(value AS VARCHAR) ELSE '0.0' END, '}')"""
+           CASE WHEN event_type = 'purchase' THEN CAST(value AS VARCHAR) ELSE '0.0' END, '}') END"""
 
 _OWN, _OTHER = "自营商品", "第三方商品"
 _STATUS = (
@@ -277,6 +293,10 @@ _PROVINCE_TOP3 = """
     FROM (SELECT *, row_number() OVER (PARTITION BY date, province ORDER BY click_count DESC, ad_id) AS r
           FROM province_stat)
     WHERE r <= 3"""
+_SLIDING = """
+    SELECT window_start, window_start + INTERVAL '60' MINUTE AS window_end, ad_id, count(*) AS click_count
+    FROM (SELECT ad_id, time_bucket(INTERVAL '10' MINUTE, ts) - to_minutes(10 * CAST(unnest(range(6)) AS INTEGER))
+              AS window_start FROM ad_click_log) GROUP BY 1, 3"""
 _TREND = """
     SELECT date, strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count
     FROM ad_click_log GROUP BY 1, 2, 3, 4"""
@@ -410,10 +430,14 @@ ORACLE: dict[str, str] = {
         "v_ev",
     ),
     "ad_log_quarantine": _with(
-        "SELECT CASE WHEN event_id % 2 = 0"
-        " THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25), user_id)"
-        " ELSE concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25),"
-        " concat('u', user_id), k % 10) END AS line FROM v_ev WHERE event_type = 'error'",
+        "SELECT CASE event_id % 5"
+        " WHEN 0 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25), user_id)"
+        " WHEN 1 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25),"
+        " concat('u', user_id), k % 10)"
+        " WHEN 2 THEN concat_ws(' ', '99999999999999999 province1 city1', user_id, k % 10)"
+        " WHEN 3 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25),"
+        " user_id, k % 10, 1)"
+        " ELSE '' END AS line FROM v_ev WHERE event_type = 'error'",
         "v_ev",
     ),
     "ad_user_daily_counts": _with("SELECT * FROM user_counts", "user_counts"),
@@ -432,17 +456,17 @@ ORACLE: dict[str, str] = {
     "ad_province_rollup": _with("SELECT * FROM province_stat", "province_stat"),
     "ad_province_top3": _with(_PROVINCE_TOP3, "province_stat"),
     "ad_click_trend": _with(_TREND, "ad_click_log"),
-    "ad_sliding_hour": _with(
-        "SELECT window_start, window_start + INTERVAL '60' MINUTE AS window_end, ad_id, count(*) AS click_count"
-        " FROM (SELECT ad_id, time_bucket(INTERVAL '10' MINUTE, ts) - to_minutes(10 * CAST(unnest(range(6)) AS INTEGER))"
-        " AS window_start FROM ad_click_log) GROUP BY 1, 3",
-        "ad_click_log",
-    ),
+    "ad_sliding_hour": _with(_SLIDING, "ad_click_log"),
     "stream_user_counts": _with("SELECT * FROM user_counts", "user_counts"),
     "stream_blacklist": _with("SELECT * FROM blacklist", "blacklist"),
     "stream_ad_stat": _with("SELECT * FROM stat", "stat"),
     "stream_province_top3": _with(_PROVINCE_TOP3, "province_stat"),
     "stream_click_trend": _with(_TREND, "ad_click_log"),
+    "stream_sliding_hour": _with(_SLIDING, "ad_click_log"),
+    "stream_clean_clicks": _with("SELECT ts, province, city, user_id, ad_id FROM clean", "clean"),
+    "stream_blacklist_by_day": _with(
+        "SELECT date, user_id, ad_id, count(*) AS click_count FROM clean GROUP BY date, user_id, ad_id", "clean"
+    ),
     "action_log_json": _with(
         "SELECT event_id AS logId, user_id AS userId, date_trunc('second', ts) AS actionTime,"
         " CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS actionType,"
@@ -451,15 +475,19 @@ ORACLE: dict[str, str] = {
         "v_ev",
     ),
     "action_log_json_quarantine": _with(
-        f"SELECT {_LOG_LINE} AS line FROM v_ev WHERE event_type = 'error'", "v_ev"
+        f"SELECT {_LOG_LINE} AS line FROM v_ev WHERE event_type = 'error' AND event_id % 4 <> 2", "v_ev"
     ),
+    "user_base_json": _with("SELECT * FROM user_base_info WHERE userId % 7 <> 0", "user_base_info"),
     "task_params": """
         SELECT c_custkey AS task_id, concat('task ', c_name) AS task_name,
                strftime(DATE '2024-01-01' + CAST(c_custkey % 20 AS INTEGER), '%Y-%m-%d 10:00:00') AS start_date,
                '2024-01-30 10:00:00' AS end_date, CAST(20 + c_custkey % 10 AS INTEGER) AS start_age,
                CAST(50 + c_custkey % 10 AS INTEGER) AS end_age,
-               concat('kw', c_custkey % 12, ',kw1') AS keywords, '1,2,3' AS target_page_flow,
-               CAST(NULL AS VARCHAR) AS sex
+               concat('kw', c_custkey % 12, ',kw1') AS keywords, concat('1,2,', c_custkey % 7) AS target_page_flow,
+               CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS sex,
+               concat('p', c_custkey % 3, ',p9') AS professionals, concat('c', c_custkey % 4) AS cities,
+               concat(c_custkey % 10, ',50') AS category_ids,
+               CASE WHEN c_custkey % 2 = 0 THEN 'week' ELSE 'month' END AS cycle
         FROM customer""",
     "scalar_dates": """
         SELECT event_id, CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) END AS parsed,
@@ -484,14 +512,14 @@ ORACLE: dict[str, str] = {
         SELECT p_partkey, p_size % 5 = 0 OR p_name = '' AS is_empty, concat(p_type, ',') AS trimmed,
                CASE WHEN length(CAST(p_size AS VARCHAR)) = 2 THEN CAST(p_size AS VARCHAR)
                     ELSE concat('0', p_size) END AS two_digits,
-               concat(p_partkey, ':', p_name) AS id_and_name, CAST(2 AS INTEGER) AS id_count,
+               concat(p_partkey, ':', p_name) AS id_and_name, CAST(CASE WHEN p_size % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS id_count,
                CASE WHEN p_partkey % 7 <> 0 THEN
                     CAST(((200 * p_size + p_partkey % 7) // (2 * (p_partkey % 7))) / 100.0 AS DOUBLE) END AS ratio,
                -p_size AS negated
         FROM part""",
     "scalar_json": _with(
         "SELECT id, json_extract_string(info, '$.product_status') AS status_text,"
-        " json_extract_string(info, '$.nothing') AS missing, CAST(NULL AS VARCHAR) AS broken,"
+        " json_extract_string(info, '$.nothing') AS missing, CASE WHEN id % 2 = 1 THEN json_extract_string(info, '$.product_status') END AS broken,"
         f" {_STATUS} AS product_status FROM product_info",
         "product_info",
     ),

@@ -24,7 +24,6 @@ from footfall.registry import settings as S
 from footfall.session import configure
 from footfall.sinks import render
 from footfall.sources import adlog, jsonl, star, tasks
-from footfall.schemas import USER_ACTION_LOG_JSON
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,13 +137,13 @@ def _sample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def session_sample(spark: SparkSession, folder: str) -> DataFrame:
-    details = categories.details_of(_actions(spark, folder), _sample(spark, folder), S.SAMPLE_SIZE)
+    details = categories.details_of(_actions(spark, folder), _sample(spark, folder))
     return sessions.session_lists(details)
 
 
 @query
 def session_sample_detail(spark: SparkSession, folder: str) -> DataFrame:
-    return categories.details_of(_actions(spark, folder), _sample(spark, folder), S.SAMPLE_SIZE)
+    return categories.details_of(_actions(spark, folder), _sample(spark, folder))
 
 
 # --- categories
@@ -196,7 +195,7 @@ def top10_session_per_category(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def top10_session_detail(spark: SparkSession, folder: str) -> DataFrame:
-    return categories.details_of(_actions(spark, folder), _top_sessions(spark, folder), categories.TOP**2)
+    return categories.details_of(_actions(spark, folder), _top_sessions(spark, folder))
 
 
 # --- page flows
@@ -281,6 +280,7 @@ def _log(spark: SparkSession, folder: str, days: activity.Period | None = None)
 
 
 _PERIOD = (S.START, S.END)
+_GROWTH_DAYS = activity.span_of(S.CURRENT_PERIOD, S.PREVIOUS_PERIOD)
 _FIRST_DAYS = activity.first_days_span(S.REGISTERED)
 
 
@@ -301,21 +301,21 @@ def active_top10_spend(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def active_growth_visits(spark: SparkSession, folder: str) -> DataFrame:
     return activity.visit_growth(
-        _log(spark, folder), _base(spark, folder), S.CURRENT_PERIOD, S.PREVIOUS_PERIOD
+        _log(spark, folder, _GROWTH_DAYS), _base(spark, folder), S.CURRENT_PERIOD, S.PREVIOUS_PERIOD
     )
 
 
 @query
 def active_growth_spend(spark: SparkSession, folder: str) -> DataFrame:
     return activity.spend_growth(
-        _log(spark, folder), _base(spark, folder), S.CURRENT_PERIOD, S.PREVIOUS_PERIOD
+        _log(spark, folder, _GROWTH_DAYS), _base(spark, folder), S.CURRENT_PERIOD, S.PREVIOUS_PERIOD
     )
 
 
 @query
 def period_union(spark: SparkSession, folder: str) -> DataFrame:
     return activity.signed_periods(
-        _log(spark, folder), activity.PURCHASE, S.CURRENT_PERIOD, S.PREVIOUS_PERIOD
+        _log(spark, folder, _GROWTH_DAYS), activity.PURCHASE, S.CURRENT_PERIOD, S.PREVIOUS_PERIOD
     )
 
 
@@ -409,13 +409,17 @@ def ad_sliding_hour(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def action_log_json(spark: SparkSession, folder: str) -> DataFrame:
-    checked = jsonl.parse_lines(star.action_log_lines(spark, folder), USER_ACTION_LOG_JSON)
-    return jsonl.typed_action_log(checked.rows)
+    return jsonl.action_log(star.action_log_lines(spark, folder)).rows
 
 
 @query
 def action_log_json_quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    return jsonl.parse_lines(star.action_log_lines(spark, folder), USER_ACTION_LOG_JSON).quarantine
+    return jsonl.action_log(star.action_log_lines(spark, folder)).quarantine
+
+
+@query
+def user_base_json(spark: SparkSession, folder: str) -> DataFrame:
+    return jsonl.user_base(star.user_base_lines(spark, folder)).rows
 
 
 @query
@@ -431,6 +435,10 @@ def task_params(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("keywords", ",").alias("keywords"),
         F.array_join(F.col("target_page_flow").cast("array<string>"), ",").alias("target_page_flow"),
         "sex",
+        F.array_join("professionals", ",").alias("professionals"),
+        F.array_join("cities", ",").alias("cities"),
+        F.array_join(F.col("category_ids").cast("array<string>"), ",").alias("category_ids"),
+        "cycle",
     )
 
 
@@ -466,13 +474,14 @@ def scalar_dates(spark: SparkSession, folder: str) -> DataFrame:
 def scalar_strings(spark: SparkSession, folder: str) -> DataFrame:
     name, size = F.col("p_name"), F.col("p_size")
     padded = F.concat(F.lit(","), F.col("p_type"), F.lit(",,"))
+    id_list = F.concat_ws(",", size.cast("string"), F.when(size % 3 == 0, "8"), name, F.lit("7"), F.lit(""))
     return star.part(spark, folder).select(
         "p_partkey",
         texts.is_empty(F.when(size % 5 != 0, name)).alias("is_empty"),
         texts.trim_comma(padded).alias("trimmed"),
         texts.two_digits(size.cast("string")).alias("two_digits"),
         texts.concat_long_string(F.col("p_partkey"), name, ":").alias("id_and_name"),
-        F.size(texts.split_ids(F.concat_ws(",", size.cast("string"), name, F.lit("7"), F.lit("")))).alias("id_count"),
+        F.size(texts.split_ids(id_list)).alias("id_count"),
         numbers.ratio(size, F.col("p_partkey") % 7).alias("ratio"),
         (-size).alias("negated"),
     )
@@ -481,11 +490,12 @@ def scalar_strings(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def scalar_json(spark: SparkSession, folder: str) -> DataFrame:
     info = F.col("info")
+    damaged = F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), info)).otherwise(info)
     return star.product_info(spark, folder).select(
         "id",
         documents.json_field(info, "product_status").alias("status_text"),
         documents.json_field(info, "nothing").alias("missing"),
-        documents.json_field(F.concat(info, F.lit("x")).substr(2, 50), "product_status").alias("broken"),
+        documents.json_field(damaged, "product_status").alias("broken"),
         products.product_status(info).alias("product_status"),
     )
 

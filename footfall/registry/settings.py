@@ -26,3 +26,4 @@ CURRENT_PERIOD = ("2024-01-16", "2024-01-30")
 PREVIOUS_PERIOD = ("2024-01-01", "2024-01-15")
 REGISTERED = ("2024-01-01", "2024-01-20")
 BLACKLIST_THRESHOLD = 2
+REPLAY_DAYS = 5

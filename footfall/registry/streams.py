@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.registry import settings as S
 from footfall.registry.queries import query
-from footfall.session import shared_folder
+from footfall.session import local_fallback, shared_folder
 from footfall.sources import star
 from footfall.streaming import pipelines
 from footfall.streaming.tables import AdTables
 
 
 def _tables(spark: SparkSession) -> AdTables:
-    return AdTables(shared_folder(spark, "ad-clicks", fallback=tempfile.gettempdir()))
+    return AdTables(shared_folder(spark, "ad-clicks", fallback=local_fallback(spark)))
 
 
 def _clicks(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +43,7 @@ def stream_blacklist(spark: SparkSession, folder: str) -> DataFrame:
 def stream_ad_stat(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark)
     pipelines.drain(pipelines.stat_stream(_clicks(spark, folder), tables))
-    return tables.stat.latest(spark)
+    return tables.stat.totals(spark)
 
 
 @query
@@ -59,4 +57,34 @@ def stream_province_top3(spark: SparkSession, folder: str) -> DataFrame:
 def stream_click_trend(spark: SparkSession, folder: str) -> DataFrame:
     tables = _tables(spark)
     pipelines.drain(pipelines.trend_stream(_clicks(spark, folder), tables))
-    return tables.trend.latest(spark)
+    return tables.trend.totals(spark)
+
+
+def _plain(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query
+def stream_sliding_hour(spark: SparkSession, folder: str) -> DataFrame:
+    tables = _tables(spark)
+    pipelines.drain(pipelines.sliding_stream(_clicks(spark, folder), tables))
+    return _plain(tables.sliding_totals(spark), "window_start", "window_end")
+
+
+def _replayed(spark: SparkSession, folder: str) -> AdTables:
+    """History in several micro-batches, so that a batch meets the list that earlier ones have made."""
+    tables = AdTables(shared_folder(spark, "ad-replay", local_fallback(spark)), keep_clicks=True, fold_every=3)
+    clicks = star.ad_click_log(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    pipelines.replay(clicks, tables, days=S.REPLAY_DAYS, threshold=S.BLACKLIST_THRESHOLD)
+    return tables
+
+
+@query
+def stream_clean_clicks(spark: SparkSession, folder: str) -> DataFrame:
+    return _plain(_replayed(spark, folder).clicks.all(spark), "ts")
+
+
+@query
+def stream_blacklist_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """User counts of the replayed history: clicks of listed users are in no later batch's counts."""
+    return _replayed(spark, folder).user_counts.totals(spark)

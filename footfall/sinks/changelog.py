@@ -1,84 +1,140 @@
-"""Upserts for micro-batches, on plain Parquet.
+"""Tables fed by micro-batches, on plain Parquet.
 
-A table is a log of keyed rows, one folder per micro-batch inside each day. Writing a batch costs as
-much as the batch is large, however large the table has grown, and writing the same batch again
-replaces its folders instead of counting twice. Two readings of the log exist:
-
-* ``latest``: the row of the newest batch wins (batches carry new totals),
-* ``totals``: the rows of all batches add up (batches carry increments).
-
-Both are hash aggregations with a partial step before the shuffle, and prune by day.
+A table is a log with one folder per micro-batch. Writing a batch costs as much as the batch is large, and writing the
+same batch again replaces its folder instead of counting twice. Every ``fold_every`` batches the closed ones are folded
+into one base folder. A reader takes the newest base and the few batches after it, so the number of folders that a
+batch reads is bounded however long the stream runs. Folders that no replay can ask for any more are removed.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH = "batch_id"
+from footfall.sinks.folders import children, remove
+
+BATCH, UPTO = "batch_id", "upto"
+FOLD_EVERY = 20
+# More days than this in one micro-batch are not named one by one: all days are read.
+MAX_DAYS = 400
 
 
-class ChangeLog:
-    def __init__(self, path: str, keys: Sequence[str], value: str, schema: str, day: str = "date") -> None:
+class BatchLog:
+    """Rows by micro-batch. ``combine`` turns the rows of many batches into fewer that mean the same."""
+
+    def __init__(
+        self,
+        path: str,
+        schema: str,
+        combine: Callable[[DataFrame], DataFrame],
+        day: str | None = None,
+        fold_every: int = FOLD_EVERY,
+    ) -> None:
         self.path = path
-        self.keys = list(keys)
-        self.value = value
+        self.schema = T.StructType.fromDDL(schema)
+        self.combine = combine
         self.day = day
-        self.schema = T.StructType.fromDDL(f"{schema}, {BATCH} BIGINT")
+        self.fold_every = fold_every
 
-    def write_batch(self, rows: DataFrame, batch_id: int, files: int | None = None) -> None:
-        """Idempotent by batch id, provided the source replays the same rows for the same batch.
+    def _batch(self, batch_id: int) -> str:
+        return f"{self.path}/log/{BATCH}={batch_id}"
 
-        ``files`` gathers the rows into that many files per day, for streaming plans, where nothing
-        else merges the many small partitions of a stateful step.
+    def _base(self, upto: int) -> str:
+        return f"{self.path}/base/{UPTO}={upto}"
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        writer = rows.select(*self.schema.fieldNames()).write.mode("overwrite")
+        (writer.partitionBy(self.day) if self.day else writer).parquet(folder)
+
+    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
+        """Idempotent by batch id, provided the source replays the same rows for the same batch."""
+        self._write(rows, self._batch(batch_id))
+
+    def fold(self, spark: SparkSession, batch_id: int) -> None:
+        """To be called before a batch is written. Folds all batches before it, once in ``fold_every``.
+
+        The folders of the last interval stay: repeating the batch folds the same rows again.
         """
-        columns = [f.name for f in self.schema.fields if f.name != BATCH]
-        if files is not None:
-            rows = rows.repartition(files, *self.keys)
-        (
-            rows.select(*columns, F.lit(batch_id).cast("bigint").alias(BATCH))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(self.day, BATCH)
-            .parquet(self.path)
-        )
+        if batch_id == 0 or batch_id % self.fold_every:
+            return
+        upto = batch_id - 1
+        folded = self.combine(self.rows(spark, upto=upto))
+        if self.day:
+            folded = folded.hint("rebalance", self.day)
+        self._write(folded, self._base(upto))
+        for name in children(spark, f"{self.path}/log"):
+            if _number(name, BATCH) is not None and _number(name, BATCH) <= upto - self.fold_every:
+                remove(spark, f"{self.path}/log/{name}")
+        for name in children(spark, f"{self.path}/base"):
+            if _number(name, UPTO) is not None and _number(name, UPTO) < upto - self.fold_every:
+                remove(spark, f"{self.path}/base/{name}")
+
+    def folders(self, spark: SparkSession, upto: int | None = None) -> tuple[str | None, str | None]:
+        """The base and a pattern for the batches after it that hold the rows up to a batch."""
+        if upto is None:
+            written = [_number(name, BATCH) for name in children(spark, f"{self.path}/log")]
+            upto = max((n for n in written if n is not None), default=-1)
+        if upto < 0:
+            return None, None
+        first = upto // self.fold_every * self.fold_every
+        after = ",".join(str(n) for n in range(first, upto + 1))
+        return (self._base(first - 1) if first else None), f"{self.path}/log/{BATCH}={{{after}}}"
 
     def rows(
         self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
     ) -> DataFrame:
-        """The log. Naming days reads, and lists, the folders of those days only."""
-        log = read_or_empty(spark, self.path, self.schema, self._folder(days))
-        return log if upto is None else log.where(F.col(BATCH) <= upto)
+        """Rows up to a batch, that one included. Naming days reads the folders of those days only."""
+        base, batches = self.folders(spark, upto)
+        found = spark.createDataFrame([], self.schema)
+        for folder in (base, batches):
+            if folder is not None:
+                found = found.unionByName(read_or_empty(spark, self.path, self.schema, folder))
+        return found if days is None or self.day is None else found.where(F.col(self.day).isin(list(days)))
 
-    def of_batch(self, spark: SparkSession, batch_id: int, days: Sequence[dt.date] | None = None) -> DataFrame:
-        folder = f"{self._folder(days) or '*'}/{BATCH}={batch_id}"
-        return read_or_empty(spark, self.path, self.schema, folder).drop(BATCH)
+    def of_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return read_or_empty(spark, self.path, self.schema, self._batch(batch_id))
 
-    def _folder(self, days: Sequence[dt.date] | None) -> str | None:
-        return None if days is None else f"{self.day}={{{','.join(str(d) for d in days)}}}"
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return self.combine(self.rows(spark, upto=batch_id - 1))
 
-    def latest(
-        self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
-    ) -> DataFrame:
-        return self._fold(self.rows(spark, days, upto), F.max_by(self.value, BATCH))
+    def all(self, spark: SparkSession) -> DataFrame:
+        return self.combine(self.rows(spark))
+
+    def forget_before(self, spark: SparkSession, batch_id: int) -> None:
+        """Remove the batches before one, for rows that nobody reads again."""
+        for name in children(spark, f"{self.path}/log"):
+            if _number(name, BATCH) is not None and _number(name, BATCH) < batch_id:
+                remove(spark, f"{self.path}/log/{name}")
+
+
+class ChangeLog(BatchLog):
+    """Increments of a count by key; the rows of all batches add up."""
+
+    def __init__(
+        self, path: str, keys: Sequence[str], value: str, schema: str, day: str = "date", fold_every: int = FOLD_EVERY
+    ) -> None:
+        self.keys = list(keys)
+        self.value = value
+        super().__init__(path, schema, self._added, day, fold_every)
+
+    def _added(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(F.sum(self.value).alias(self.value))
 
     def totals(
         self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
     ) -> DataFrame:
-        return self._fold(self.rows(spark, days, upto), F.sum(self.value))
+        """A hash aggregation with a partial step before the shuffle, over the named days only."""
+        return self._added(self.rows(spark, days, upto))
 
-    def _fold(self, log: DataFrame, value: Column) -> DataFrame:
-        return log.groupBy(*self.keys).agg(value.alias(self.value))
 
-    def compact(self, spark: SparkSession, into: ChangeLog, *, additive: bool, days: Sequence[dt.date]) -> None:
-        """Fold closed days into another log with one folder per day, to be read from then on."""
-        folded = self.totals(spark, days) if additive else self.latest(spark, days)
-        into.write_batch(folded, 0)
+def _number(name: str, key: str) -> int | None:
+    text = name.removeprefix(f"{key}=")
+    return int(text) if text != name and text.isdigit() else None
 
 
 def read_or_empty(
@@ -87,18 +143,16 @@ def read_or_empty(
     """The table at ``path``, or some folders of it; no rows before anything was written there."""
     reader = spark.read.schema(schema).option("basePath", path)
     try:
-        return reader.parquet(path if folder is None else f"{path}/{folder}")
+        found = reader.parquet(path if folder is None else folder)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    # Without the numbers of batches, which are folders too.
+    return found.select(*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fieldNames())
 
 
-def days_in(rows: DataFrame, day: str = "date") -> list[dt.date]:
-    """The distinct days of a micro-batch, for partition pruning; a few values by nature."""
-    return [r[0] for r in rows.select(day).distinct().collect()]
-
-
-def merge_latest(current: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full-table upsert for small tables: rows of ``new`` replace rows of ``current`` by key."""
-    return current.join(new, list(keys), "left_anti").unionByName(new)
+def days_in(rows: DataFrame, day: str = "date") -> list[dt.date] | None:
+    """The distinct days of a micro-batch, for partition pruning; ``None`` if they are too many to name."""
+    found = [r[0] for r in rows.select(day).distinct().limit(MAX_DAYS + 1).collect()]
+    return found if len(found) <= MAX_DAYS else None

@@ -7,14 +7,13 @@ that repeats its last micro-batch leaves the tables as they were.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from footfall.operators import adclicks
-from footfall.sinks.changelog import days_in
+from footfall.sinks.changelog import ChangeLog, days_in
 from footfall.sinks.tables import replace_groups
 from footfall.streaming.tables import AdTables
 
@@ -30,6 +29,39 @@ def refresh_province_top3(tables: AdTables, stat_of_days: DataFrame) -> None:
     replace_groups(adclicks.province_top_ads(stat_of_days), tables.province_top3_path, ["date"])
 
 
+def clean_click_batch(
+    spark: SparkSession,
+    batch: DataFrame,
+    batch_id: int,
+    tables: AdTables,
+    threshold: int = adclicks.BLACKLIST_THRESHOLD,
+) -> None:
+    """Take one micro-batch, live or replayed from history, into all tables of the clean clicks.
+
+    The order makes the blacklist dynamic: drop the clicks of listed users, add the rest to the
+    counts, list the users who have reached the threshold. The next micro-batch reads the longer
+    list. A repeated micro-batch reads the list as it was before that batch.
+    """
+    logs = [tables.blacklist, tables.user_counts, tables.stat]
+    for log in [*logs, tables.clicks] if tables.keep_clicks else logs:
+        log.fold(spark, batch_id)
+    known = tables.blacklist.before(spark, batch_id)
+    tables.clicks.write_batch(adclicks.without_blacklisted(batch, known), batch_id)
+    # From here on the stored clicks are read, not the source again.
+    kept = tables.clicks.of_batch(spark, batch_id)
+    tables.user_counts.write_batch(adclicks.user_daily_counts(kept), batch_id)
+    tables.stat.write_batch(adclicks.ad_stat(kept), batch_id)
+    days = days_in(tables.stat.of_batch(spark, batch_id))
+
+    touched = tables.user_counts.of_batch(spark, batch_id)
+    counts = adclicks.counts_of(touched, tables.user_counts.totals(spark, days, upto=batch_id))
+    heavy = adclicks.heavy_clickers(counts, threshold)
+    tables.blacklist.write_batch(adclicks.new_on_blacklist(heavy, known), batch_id)
+    refresh_province_top3(tables, tables.stat.totals(spark, days, upto=batch_id))
+    if not tables.keep_clicks:
+        tables.clicks.forget_before(spark, batch_id)
+
+
 def clean_click_stream(
     clicks: DataFrame,
     tables: AdTables,
@@ -37,101 +69,72 @@ def clean_click_stream(
     threshold: int = adclicks.BLACKLIST_THRESHOLD,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Blacklist, user counts, statistics and province ranking, from one query.
-
-    The order inside a micro-batch makes the blacklist dynamic: drop the clicks of listed users, add
-    the rest to the counts, list the users who have reached the threshold. The next micro-batch
-    reads the longer list. A repeated micro-batch reads the list as it was before that batch.
-    """
+    """Blacklist, user counts, statistics and province ranking, from one query."""
     spark = clicks.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        known = tables.blacklist.before(batch.sparkSession, batch_id)
-        tables.clicks.write_batch(adclicks.without_blacklisted(batch, known), batch_id)
-        # From here on the stored clicks are read, not the source again, and adaptive execution,
-        # which streaming plans go without, sizes the small writes below.
-        kept = tables.clicks.of_batch(spark, batch_id)
-        tables.user_counts.write_batch(adclicks.user_daily_counts(kept), batch_id)
-        tables.stat.write_batch(adclicks.ad_stat(kept), batch_id)
-        days = days_in(kept.select(F.to_date("ts").alias("date")))
-        if not days:
-            return
-        _extend_blacklist(spark, tables, batch_id, days, threshold)
-        refresh_province_top3(tables, tables.stat.totals(spark, days, upto=batch_id))
+        # The batch belongs to a session of its own, which the joins with stored tables must share.
+        clean_click_batch(batch.sparkSession, batch, batch_id, tables, threshold)
 
     writer = clicks.writeStream.outputMode("append").foreachBatch(process)
     return _start(writer, tables, "clean_clicks", every)
 
 
-def _extend_blacklist(
-    spark: SparkSession, tables: AdTables, batch_id: int, days: Sequence[dt.date], threshold: int
+def replay(
+    clicks: DataFrame, tables: AdTables, *, days: int = 1, threshold: int = adclicks.BLACKLIST_THRESHOLD
 ) -> None:
-    """List users whose count for a day and ad, over all batches so far, has reached the threshold."""
-    touched = tables.user_counts.of_batch(spark, batch_id, days)
-    counts = adclicks.counts_of(touched, tables.user_counts.totals(spark, days, upto=batch_id))
-    known = tables.blacklist.before(spark, batch_id)
-    heavy = adclicks.heavy_clickers(counts, threshold)
-    tables.blacklist.write_batch(adclicks.new_on_blacklist(heavy, known), batch_id)
-
-
-def stat_stream(
-    clicks: DataFrame,
-    tables: AdTables,
-    *,
-    watermark: str = "2 days",
-    files: int = 1,
-    every: str | None = None,
-) -> StreamingQuery:
-    """Cumulative statistics from stream state, with the province ranking kept up to date.
+    """Run history through the same tables in micro-batches of so many days, oldest first.
 
-    For clicks that need no blacklist. The state holds the days the watermark still allows; each
-    micro-batch passes on only the keys it changed, with their new totals.
+    A stretch of days without clicks is a micro-batch too.
     """
     spark = clicks.sparkSession
+    span = clicks.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).head()
+    if span[0] is None:
+        return
+    for batch_id in range((span[1] - span[0]).days // days + 1):
+        start = span[0] + dt.timedelta(days=batch_id * days)
+        first, end = (F.lit(d).cast("timestamp") for d in (start, start + dt.timedelta(days=days)))
+        batch = clicks.where((F.col("ts") >= first) & (F.col("ts") < end))
+        clean_click_batch(spark, batch, batch_id, tables, threshold)
+
+
+def _increments(clicks: DataFrame, log: ChangeLog, count, tables: AdTables, name: str, every: str | None, after=None):
+    """Add what each micro-batch counts to a log. No state, no watermark: however late, every click counts."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        tables.stat.write_batch(batch, batch_id, files)
-        days = days_in(tables.stat.of_batch(spark, batch_id))
-        if not days:
-            return
-        refresh_province_top3(tables, tables.stat.latest(spark, days, upto=batch_id))
+        spark = batch.sparkSession
+        log.fold(spark, batch_id)
+        log.write_batch(count(batch), batch_id)
+        if after is not None:
+            after(spark, batch_id)
 
-    totals = adclicks.ad_stat(clicks.withWatermark("ts", watermark))
-    writer = totals.writeStream.outputMode("update").foreachBatch(process)
-    return _start(writer, tables, "ad_stat", every)
+    return _start(clicks.writeStream.outputMode("append").foreachBatch(process), tables, name, every)
 
 
-def trend_stream(
-    clicks: DataFrame,
-    tables: AdTables,
-    *,
-    watermark: str = "1 hour",
-    files: int = 1,
-    every: str | None = None,
-) -> StreamingQuery:
-    """Clicks per minute and ad over the unfiltered stream; clicks later than the watermark are dropped."""
+def stat_stream(clicks: DataFrame, tables: AdTables, *, every: str | None = None) -> StreamingQuery:
+    """Cumulative statistics with the province ranking kept up to date, for clicks that need no blacklist."""
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        tables.trend.write_batch(batch, batch_id, files)
+    def rank(spark: SparkSession, batch_id: int) -> None:
+        days = days_in(tables.stat.of_batch(spark, batch_id))
+        refresh_province_top3(tables, tables.stat.totals(spark, days, upto=batch_id))
 
-    counts = adclicks.click_trend(clicks.withWatermark("ts", watermark))
-    writer = counts.writeStream.outputMode("update").foreachBatch(process)
-    return _start(writer, tables, "ad_click_trend", every)
+    return _increments(clicks, tables.stat, adclicks.ad_stat, tables, "ad_stat", every, rank)
+
+
+def trend_stream(clicks: DataFrame, tables: AdTables, *, every: str | None = None) -> StreamingQuery:
+    """Clicks per minute and ad over the unfiltered stream."""
+    return _increments(clicks, tables.trend, adclicks.click_trend, tables, "ad_click_trend", every)
 
 
 def sliding_stream(
-    clicks: DataFrame,
-    tables: AdTables,
-    *,
-    watermark: str = "1 hour",
-    length: str = "60 minutes",
-    slide: str = "10 minutes",
-    every: str | None = None,
+    clicks: DataFrame, tables: AdTables, *, slide: str = "10 minutes", every: str | None = None
 ) -> StreamingQuery:
-    """Totals of each sliding window, written once when the watermark has passed its end."""
-    totals = adclicks.sliding_totals(clicks.withWatermark("ts", watermark), length, slide)
-    writer = totals.writeStream.outputMode("append").format("parquet").option("path", tables.sliding_path)
-    return _start(writer, tables, "ad_sliding_totals", every)
+    """Panes of the sliding windows, which are added up when read."""
+
+    def panes(batch: DataFrame) -> DataFrame:
+        return adclicks.pane_counts(batch, slide)
+
+    return _increments(clicks, tables.panes, panes, tables, "ad_click_panes", every)
 
 
 def drain(query: StreamingQuery, timeout: float | None = None) -> None:

@@ -5,72 +5,54 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from footfall.operators.adclicks import STAT_KEYS, TREND_KEYS, USER_COUNT_KEYS
-from footfall.sinks.changelog import BATCH, ChangeLog, read_or_empty
+from footfall.operators.adclicks import PANE_KEYS, STAT_KEYS, TREND_KEYS, USER_COUNT_KEYS, windows_of
+from footfall.sinks.changelog import FOLD_EVERY, BatchLog, ChangeLog, read_or_empty
 
 _CLICK = "ts TIMESTAMP, province STRING, city STRING, user_id BIGINT, ad_id BIGINT"
 
 
-class BatchTable:
-    """Rows kept per micro-batch; writing a batch again replaces its rows."""
-
-    def __init__(self, path: str, schema: str) -> None:
-        self.path = path
-        self.schema = f"{schema}, {BATCH} BIGINT"
-
-    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        (
-            rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BATCH)
-            .parquet(self.path)
-        )
-
-    def _rows(self, spark: SparkSession) -> DataFrame:
-        return read_or_empty(spark, self.path, self.schema)
-
-    def of_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return read_or_empty(spark, self.path, self.schema, f"{BATCH}={batch_id}").drop(BATCH)
-
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return self._rows(spark).where(F.col(BATCH) < batch_id).drop(BATCH)
-
-    def all(self, spark: SparkSession) -> DataFrame:
-        return self._rows(spark).drop(BATCH)
-
-
 class AdTables:
-    def __init__(self, base: str) -> None:
+    """``keep_clicks`` keeps the clicks that passed the blacklist; otherwise only the newest batches hold any."""
+
+    def __init__(self, base: str, *, keep_clicks: bool = False, fold_every: int = FOLD_EVERY) -> None:
         self.base = base
+        self.keep_clicks = keep_clicks
 
         def at(name: str) -> str:
             return os.path.join(base, name)
 
-        self.blacklist = BatchTable(at("ad_blacklist"), "user_id BIGINT")
-        self.clicks = BatchTable(at("ad_clicks_kept"), _CLICK)
+        self.blacklist = BatchLog(at("ad_blacklist"), "user_id BIGINT", DataFrame.distinct, fold_every=fold_every)
+        self.clicks = BatchLog(at("ad_clicks_kept"), _CLICK, lambda rows: rows, fold_every=fold_every)
         self.user_counts = ChangeLog(
             at("ad_user_click_count"),
             USER_COUNT_KEYS,
             "click_count",
             "date DATE, user_id BIGINT, ad_id BIGINT, click_count BIGINT",
+            fold_every=fold_every,
         )
         self.stat = ChangeLog(
             at("ad_stat"),
             STAT_KEYS,
             "click_count",
             "date DATE, province STRING, city STRING, ad_id BIGINT, click_count BIGINT",
+            fold_every=fold_every,
         )
         self.trend = ChangeLog(
             at("ad_click_trend"),
             TREND_KEYS,
             "click_count",
             "date DATE, hour STRING, minute STRING, ad_id BIGINT, click_count BIGINT",
+            fold_every=fold_every,
+        )
+        self.panes = ChangeLog(
+            at("ad_click_panes"),
+            PANE_KEYS,
+            "click_count",
+            "date DATE, pane_start TIMESTAMP, ad_id BIGINT, click_count BIGINT",
+            fold_every=fold_every,
         )
         self.province_top3_path = at("ad_province_top3")
-        self.sliding_path = at("ad_sliding_totals")
         self._checkpoints = at("checkpoints")
 
     def checkpoint(self, query: str) -> str:
@@ -80,6 +62,6 @@ class AdTables:
         schema = "date DATE, province STRING, ad_id BIGINT, click_count BIGINT"
         return read_or_empty(spark, self.province_top3_path, schema)
 
-    def sliding_totals(self, spark: SparkSession) -> DataFrame:
-        schema = "window_start TIMESTAMP, window_end TIMESTAMP, ad_id BIGINT, click_count BIGINT"
-        return read_or_empty(spark, self.sliding_path, schema)
+    def sliding_totals(self, spark: SparkSession, length: str = "60 minutes", slide: str = "10 minutes") -> DataFrame:
+        """Totals of all windows. ``slide`` is that of the stream that counted the panes."""
+        return windows_of(self.panes.totals(spark), length, slide)

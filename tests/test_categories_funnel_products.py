@@ -25,7 +25,7 @@ def frame(spark, rows):
 
 def test_three_key_order(spark):
     counts = spark.createDataFrame(
-        [(1, 30, 35, 40), (2, 35, 30, 40), (3, 30, 38, 30), (9, 35, 30, 40)],
+        [(1, 12, 90, 80), (2, 20, 11, 70), (3, 12, 95, 10), (9, 20, 11, 70)],
         "category_id bigint, click_count bigint, order_count bigint, pay_count bigint",
     )
     assert [r["category_id"] for r in categories.top_categories(counts, 3).collect()] == [2, 9, 3]
@@ -53,8 +53,7 @@ def test_top_sessions_break_ties_by_id(spark):
     few = spark.createDataFrame([(7,)], "category_id bigint")
     top = categories.top_sessions(categories.session_clicks(actions, few), 2)
     assert sorted(tuple(r) for r in top.collect()) == [(7, "a", 2), (7, "c", 3)]
-    assert categories.details_of(actions, top, 4).count() == 5
-    assert categories.details_of(actions, top, 10**9).count() == 5
+    assert categories.details_of(actions, top).count() == 5
 
 
 def _brute_pairs(rows):

@@ -2,22 +2,23 @@
 
 import datetime as dt
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from footfall import schemas
 from footfall.functions import documents, sql, texts, times
-from footfall.operators import adclicks, categories, funnel, histogram, products, sampling, sessions
+from footfall.operators import activity, adclicks, categories, funnel, histogram, products, sampling, sessions
 from footfall.operators.scans import action_scan, click_scan
 from footfall.params import TaskParams
 from footfall.plans.area_products import run_area_products
 from footfall.plans.page_flow import run_page_flow
 from footfall.plans.session_analysis import run_session_analysis
+from footfall.plans.user_activity import run_user_activity
 from footfall.registry import settings as S
 from footfall.session import shared_folder
 from footfall.sinks import render, tables
-from footfall.sinks.changelog import merge_latest
 from footfall.sources import jsonl, star
 from footfall.sources.adlog import parse_ad_log
 from footfall.sources.streams import kafka_options
@@ -109,51 +110,60 @@ def test_sql_names(spark):
 
 def test_ad_log_lines(spark):
     lines = [
-        "1704445200123 Hubei Wuhan 7 3",
-        "1704445200123 Hubei Wuhan 7",
-        "1704445200123 Hubei Wuhan x 3",
-        "later Hubei Wuhan 7 3",
+        "1704879000456 North Harbour 41 8",
+        "1704879000456 North Harbour 41",
+        "1704879000456 North Harbour x 8",
+        "later North Harbour 41 8",
+        "99999999999999999 North Harbour 41 8",
+        "-5 North Harbour 41 8",
+        "1704879000456 North Harbour 41 8 9",
         "",
     ]
     parsed = parse_ad_log(spark.createDataFrame([(v,) for v in lines], "value string"))
-    assert [tuple(r)[1:] for r in parsed.clicks.collect()] == [("Hubei", "Wuhan", 7, 3)]
-    assert parsed.clicks.select(F.unix_millis("ts")).head()[0] == 1704445200123
+    assert [tuple(r)[1:] for r in parsed.clicks.collect()] == [("North", "Harbour", 41, 8)]
+    assert parsed.clicks.select(F.unix_millis("ts")).head()[0] == 1704879000456
     assert sorted(r[0] for r in parsed.quarantine.collect()) == sorted(lines[1:])
 
 
 def test_json_lines_with_a_malformed_line(spark, tmp_path):
-    good = '{"logId": 2,"userId": 0, "actionTime": "2018-11-18 15:42:45", "actionType": 0, "purchaseMoney": 0.0}'
-    bad = good.replace(": 2,", ": 02,")
-    (tmp_path / "log.json").write_text(good + "\n" + bad + "\n")
-    checked = jsonl.read_json_lines(spark, str(tmp_path), schemas.USER_ACTION_LOG_JSON)
-    assert [r["logId"] for r in checked.rows.collect()] == [2]
-    assert [r["line"] for r in checked.quarantine.collect()] == [bad]
-    typed = jsonl.typed_action_log(checked.rows).head()
-    assert typed["actionTime"] == dt.datetime(2018, 11, 18, 15, 42, 45)
+    good = '{"logId": 71,"userId": 5, "actionTime": "2024-02-29 7:08:09", "actionType": 1, "purchaseMoney": 12.5}'
+    bad = good.replace(": 71,", ": 071,")
+    late = good.replace("2024-02-29 7:08:09", "noon")
+    (tmp_path / "log.json").write_text("\n".join([good, bad, "", "   ", late]) + "\n")
+    checked = jsonl.read_json_lines(spark, str(tmp_path), schemas.USER_ACTION_LOG_JSON, times=("actionTime",))
+    assert [tuple(r) for r in checked.rows.collect()] == [(71, 5, dt.datetime(2024, 2, 29, 7, 8, 9), 1, 12.5)]
+    assert sorted(r["line"] for r in checked.quarantine.collect()) == sorted([bad, late])
+    lines = spark.createDataFrame([(None,), ("",), (good,)], "value string")
+    parsed = jsonl.action_log(lines)
+    assert parsed.rows.count() == 1
+    assert [r["line"] for r in parsed.quarantine.collect()] == [None]
 
 
 def test_user_base_lines(spark, tmp_path):
-    (tmp_path / "users.json").write_text('{"userId": 0, "username": "user0", "registTime": "2016-10-11 18:06:25"}\n')
-    checked = jsonl.read_json_lines(spark, str(tmp_path), schemas.USER_BASE_INFO_JSON)
-    assert tuple(jsonl.typed_user_base(checked.rows).head()) == (0, "user0", dt.datetime(2016, 10, 11, 18, 6, 25))
+    (tmp_path / "users.json").write_text('{"userId": 9, "username": "nine", "registTime": "2024-03-01 06:30:00"}\n')
+    checked = jsonl.user_base(spark.read.text(str(tmp_path)))
+    assert tuple(checked.rows.head()) == (9, "nine", dt.datetime(2024, 3, 1, 6, 30))
 
 
 def test_task_records(spark):
-    param = '{"startDate":"2018-10-14 10:00:00","endDate":"2019-11-21 10:00:00","startAge":10,"endAge":"60","keywords":"火锅,美女","categoryIds":"1,2","targetPageFlow":"1,2,3","sex":""}'
+    param = (
+        '{"startDate":"2024-01-02 08:00:00","endDate":"2024-01-28 20:00:00","startAge":21,"endAge":"64",'
+        '"keywords":"tea,rice","categoryIds":"4,9","targetPageFlow":"2,5,7","sex":""}'
+    )
     tasks = spark.createDataFrame([(1, "a", None, None, None, "1", "1", param)], schemas.TASK)
     loaded = load_task(tasks, 1)
     assert loaded == TaskParams(
-        start_date="2018-10-14 10:00:00",
-        end_date="2019-11-21 10:00:00",
-        start_age=10,
-        end_age=60,
-        keywords=("火锅", "美女"),
-        category_ids=(1, 2),
-        target_page_flow=(1, 2, 3),
+        start_date="2024-01-02 08:00:00",
+        end_date="2024-01-28 20:00:00",
+        start_age=21,
+        end_age=64,
+        keywords=("tea", "rice"),
+        category_ids=(4, 9),
+        target_page_flow=(2, 5, 7),
     )
     assert load_task(tasks, 2) is None
     row = parse_task_params(tasks).head()
-    assert (row["start_age"], row["end_age"], row["category_ids"], row["cycle"]) == (10, 60, [1, 2], None)
+    assert (row["start_age"], row["end_age"], row["category_ids"], row["cycle"]) == (21, 64, [4, 9], None)
 
 
 def test_reader_options():
@@ -180,14 +190,6 @@ def test_replacing_groups(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
-def test_merge_latest(spark):
-    def frame(*rows):
-        return spark.createDataFrame(rows, "k int, v int")
-
-    merged = merge_latest(frame((1, 1), (2, 2)), frame((2, 3), (3, 4)), ["k"])
-    assert sorted(map(tuple, merged.collect())) == [(1, 1), (2, 3), (3, 4)]
-
-
 def test_rendered_rates(spark):
     rates = spark.createDataFrame(
         [(2, "2_1", 0.5), (1, "1_2", None), (3, "1_2", 0.25)], "step int, page_split string, convert_rate double"
@@ -258,7 +260,7 @@ def test_whole_session_analysis(spark, sf_dir, tmp_path):
     assert _rows(first["top10_category"]) == _rows(top)
     best = categories.top_sessions(categories.session_clicks(kept, top))
     assert _rows(first["top10_category_session"]) == _rows(best)
-    assert first["top10_session_detail"].count() == categories.details_of(scanned, best, 100).count()
+    assert first["top10_session_detail"].count() == categories.details_of(scanned, best).count()
 
 
 def test_whole_page_flow_and_products(spark, sf_dir, tmp_path):
@@ -277,3 +279,48 @@ def test_whole_page_flow_and_products(spark, sf_dir, tmp_path):
     counts = products.area_product_counts(click_scan(actions, S.START, S.END), cities)
     expected = products.top_products(counts, info, S.AREA_LEVELS)
     assert _written(spark, tmp_path / "out" / "area_top3_product") == _rows(expected)
+
+
+def test_results_without_rows_replace_and_start_tables(spark, sf_dir, tmp_path):
+    actions, users = star.user_visit_action(spark, sf_dir), star.user_info(spark, sf_dir)
+    cities, info = star.city_info(spark, sf_dir), star.product_info(spark, sf_dir)
+    log, base = star.user_action_log(spark, sf_dir), star.user_base_info(spark, sf_dir)
+    full = TaskParams(start_date=S.START, end_date=S.END, target_page_flow=S.FLOW, cycle="month")
+    none = TaskParams(start_date="1999-01-01", end_date="1999-01-02", target_page_flow=S.FLOW, cycle="month")
+    work = str(tmp_path / "work")
+
+    def run(params, out, as_of):
+        run_session_analysis(actions, users, params, 3, out, sample_size=20_000, work=work)
+        run_page_flow(actions, params, 3, out, work=work)
+        run_area_products(actions, cities, info, params, 3, out, levels=S.AREA_LEVELS)
+        run_user_activity(log, base, params, 3, out, as_of=as_of)
+
+    def counts(out):
+        return {t.name: spark.read.parquet(str(t)).count() for t in pathlib.Path(out).iterdir()}
+
+    first = str(tmp_path / "first")
+    run(none, first, dt.datetime(1999, 1, 2))
+    empty = counts(first)
+    assert empty.pop("page_split_convert_rate") == 1  # the rates of a flow that nobody took
+    assert set(empty.values()) == {0} and len(empty) == 13
+    again = str(tmp_path / "again")
+    run(full, again, dt.datetime(2024, 1, 30))
+    assert all(counts(again).values())
+    run(none, again, dt.datetime(1999, 1, 2))
+    left = counts(again)
+    assert left.pop("page_split_convert_rate") == 1 and set(left.values()) == {0}
+
+
+def test_odd_amounts_neither_stop_nor_spoil_a_sum(spark):
+    rows = [(1, 1e12), (1, 0.25), (1, float("nan")), (1, None), (2, 1e40), (2, float("inf")), (2, 3.0), (3, 0.00000004)]
+    log = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "logId long, userId long, purchaseMoney double")
+    log = log.selectExpr("*", "1 AS actionType", "TIMESTAMP_NTZ '2024-01-06 10:00:00' AS actionTime")
+    users = spark.createDataFrame([(i, f"u{i}") for i in (1, 2, 3)], "userId long, username string")
+    got = {r["userId"]: r["totalPurchaseMoney"] for r in activity.top_spend(log, users, ("2024-01-05", "2024-01-07")).collect()}
+    assert got == {1: 1e12 + 0.25, 2: 3.0, 3: 0.0}
+    assert activity.unusable_purchases(log, ("2024-01-05", "2024-01-07")).count() == 3
+
+
+def test_setting_a_field_to_nothing_keeps_it(spark):
+    row = spark.range(1).select(texts.set_field(F.lit("a=1|b=2"), "b", F.lit(None).cast("string"))).head()
+    assert row[0] == "a=1|b="

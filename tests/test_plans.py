@@ -1,18 +1,19 @@
 """What physical plans must and must not hold."""
 
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from footfall.operators import categories, funnel, products
 from footfall.operators.adclicks import province_top_ads, ad_stat
+from footfall.registry import QUERIES
 from footfall.registry import settings as S
 from footfall.sources import star
 
-QUERIES = entry_points.queries()
 BATCH_QUERIES = sorted(n for n in QUERIES if not n.startswith("stream_"))
 FORBIDDEN = ("CartesianProduct", "NestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups", "ExistingRDD")
 # The quotas of a sample need the total over one row per hour, and nothing larger.
 SINGLE_TASK_WINDOWS = {"session_hour_quota", "session_sample", "session_sample_detail"}
+GROWTH = ["active_growth_visits", "active_growth_spend", "period_union"]
 
 
 def plan_of(df):
@@ -35,6 +36,19 @@ def test_time_range_reaches_the_scan(spark, sf_dir, name):
     assert "GreaterThanOrEqual(ts,2024-01-05" in plan
 
 
+@pytest.mark.parametrize("name", GROWTH)
+def test_growth_reads_both_periods_in_one_pruned_scan(spark, sf_dir, name):
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    assert "GreaterThanOrEqual(ts,2024-01-01" in plan and "LessThan(ts,2024-01-31" in plan
+    assert plan.count("ReadSchema: struct<event_id") + plan.count("ReadSchema: struct<ts") == 1
+
+
+def test_sample_ranks_buckets_not_hours(spark, sf_dir):
+    plan = plan_of(QUERIES["session_sample_detail"](spark, sf_dir))
+    ranks = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
+    assert ranks and all("bucket" in line for line in ranks)
+
+
 def test_scan_reads_only_needed_columns(spark, sf_dir):
     plan = plan_of(QUERIES["click_scan"](spark, sf_dir))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
@@ -59,16 +73,15 @@ def test_rankings_need_no_full_sort(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
-def test_broadcast_only_below_the_bound(spark, sf_dir):
+def test_no_broadcast_of_unknown_size(spark, sf_dir):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         actions = star.user_visit_action(spark, sf_dir)
         keys = actions.select("session_id").distinct()
-        few = plan_of(categories.details_of(actions, keys, categories.MAX_BROADCAST_ROWS))
-        many = plan_of(categories.details_of(actions, keys, categories.MAX_BROADCAST_ROWS + 1))
-        assert "BroadcastHashJoin" in few
-        assert "Broadcast" not in many
+        assert "Broadcast" not in plan_of(categories.details_of(actions, keys))
+        wanted = actions.select(F.col("click_category_id").alias("category_id")).distinct()
+        assert "Broadcast" not in plan_of(categories.session_clicks(actions, wanted))
         counts = products.area_product_counts(
             actions.selectExpr("city_id", "click_product_id AS product_id"), star.city_info(spark, sf_dir)
         )

@@ -1,6 +1,7 @@
 """Roll-up, filters, histogram and sampling on hand-written sessions."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,13 +163,11 @@ def _many_sessions(spark):
     )
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 64])
+@pytest.mark.parametrize("digits", [1, 2, 3])
 @pytest.mark.parametrize("size", [3, 100, 5000])
-def test_sample_equals_ranking_whole_hours(spark, size, buckets):
+def test_sample_equals_ranking_whole_hours(spark, size, digits):
     table = _many_sessions(spark)
-    drawn = {r[0] for r in sampling.session_sample(table, size, "x", buckets).select("session_id").collect()}
-    import hashlib
-
+    drawn = {r[0] for r in sampling.session_sample(table, size, "x", digits).select("session_id").collect()}
     hours = {}
     for session, start in table.collect():
         hours.setdefault(start, []).append((hashlib.md5(f"{session}x".encode()).hexdigest(), session))
@@ -188,6 +187,18 @@ def test_sample_ignores_partitioning(spark):
     assert sorted(one) == sorted(other)
 
 
+def test_sample_of_one_crowded_hour(spark):
+    table = spark.range(20_000).select(
+        F.concat(F.lit("s"), "id").alias("session_id"),
+        F.when(F.col("id") % 20 > 0, F.lit("2024-01-05 08:00:00")).otherwise(F.lit("2024-01-05 09:00:00"))
+        .cast("timestamp_ntz").alias("start_time"),
+    )
+    drawn = [r[0] for r in sampling.session_sample(table, 5000, "q").select("session_id").collect()]
+    by_draw = sorted((hashlib.md5(f"s{i}q".encode()).hexdigest(), f"s{i}") for i in range(20_000) if i % 20)
+    assert {s for s in drawn if int(s[1:]) % 20} == {s for _, s in by_draw[:4750]}
+    assert len(drawn) == 5000
+
+
 def test_scan_bounds_are_inclusive(spark):
     actions = frame(spark, [action("s", 1, s) for s in (-1, 0, 10, 11)])
     hits = scans.action_scan(actions, "2024-01-05 9:00:00", "2024-01-05 09:00:10")
@@ -202,9 +213,10 @@ def test_raw_times_are_parsed(spark):
         [("2024-01-05", t) for t in ("2024-01-05 9:05:07", "2024-01-05 10:00:00", "garbage")],
         "date string, action_time string",
     )
-    typed = typed_actions(raw).orderBy("action_time").collect()
+    checked = typed_actions(raw)
+    assert [r["action_time"] for r in checked.quarantine.collect()] == ["garbage"]
+    typed = checked.rows.orderBy("action_time").collect()
     assert [r["action_time"] for r in typed] == [
-        None,
         dt.datetime(2024, 1, 5, 9, 5, 7),
         dt.datetime(2024, 1, 5, 10, 0, 0),
     ]

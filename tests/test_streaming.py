@@ -6,12 +6,13 @@ import os
 import shutil
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators import adclicks
 from footfall.plans.ad_clicks import start_ad_clicks
 from footfall.schemas import AD_CLICK
-from footfall.sinks.changelog import ChangeLog
+from footfall.sinks.changelog import BatchLog, ChangeLog
 from footfall.sources import star
 from footfall.sources.streams import read_parquet_stream, read_text_stream
 from footfall.streaming import pipelines
@@ -65,24 +66,20 @@ def test_statistics_and_ranking_equal_batch(spark, clicks, feed, tmp_path):
     query = pipelines.stat_stream(feed, tables)
     pipelines.drain(query, 300)
     batch = adclicks.ad_stat(clicks)
-    assert _same(tables.stat.latest(spark), batch)
+    assert _same(tables.stat.totals(spark), batch)
     assert _same(tables.province_top3(spark), adclicks.province_top_ads(batch))
 
 
 def test_trend_equals_batch(spark, clicks, feed, tmp_path):
     tables = AdTables(str(tmp_path / "out"))
     pipelines.drain(pipelines.trend_stream(feed, tables), 300)
-    assert _same(tables.trend.latest(spark), adclicks.click_trend(clicks))
+    assert _same(tables.trend.totals(spark), adclicks.click_trend(clicks))
 
 
-def test_sliding_totals_equal_batch_for_closed_windows(spark, clicks, feed, tmp_path):
+def test_sliding_totals_equal_batch(spark, clicks, feed, tmp_path):
     tables = AdTables(str(tmp_path / "out"))
     pipelines.drain(pipelines.sliding_stream(feed, tables), 300)
-    closed = tables.sliding_totals(spark)
-    last = closed.agg(F.max("window_end")).head()[0]
-    newest = clicks.agg(F.max("ts")).head()[0]
-    assert newest - last < dt.timedelta(minutes=60 + 60 + 20)
-    assert _same(closed, adclicks.sliding_totals(clicks).where(F.col("window_end") <= F.lit(last)))
+    assert _same(tables.sliding_totals(spark), adclicks.sliding_totals(clicks))
 
 
 def test_one_pass_over_panes_equals_direct_windows(clicks):
@@ -118,7 +115,7 @@ def test_blacklist_grows_between_batches(spark, tmp_path):
     folder = str(tmp_path / "in")
     for i, batch in enumerate(batches):
         _drop(spark.createDataFrame(batch, AD_CLICK), folder, f"b{i}.parquet", tmp_path)
-    tables = AdTables(str(tmp_path / "out"))
+    tables = AdTables(str(tmp_path / "out"), keep_clicks=True, fold_every=2)
     feed = read_parquet_stream(spark, folder, AD_CLICK, files_per_batch=1)
     pipelines.drain(pipelines.clean_click_stream(feed, tables, threshold=2), 300)
 
@@ -133,7 +130,7 @@ def test_blacklist_grows_between_batches(spark, tmp_path):
 
 
 def test_repeating_the_last_batch_changes_nothing(spark, feed, tmp_path):
-    tables = AdTables(str(tmp_path / "out"))
+    tables = AdTables(str(tmp_path / "out"), keep_clicks=True)
     pipelines.drain(pipelines.clean_click_stream(feed, tables, threshold=2), 300)
 
     def state():
@@ -159,12 +156,11 @@ def test_repeating_the_last_batch_changes_nothing(spark, feed, tmp_path):
     assert state() == before
 
 
-def test_clicks_behind_the_watermark_are_dropped(spark, tmp_path):
+def test_late_clicks_count(spark, tmp_path):
     folder = str(tmp_path / "in")
     arrivals = [
         [(T0, "p", "c", 1, 1)],
         [(T0 + 61 * MINUTE, "p", "c", 1, 1)],
-        # The watermark of a micro-batch decides about late clicks from the next one on.
         [(T0 + 61 * MINUTE, "p", "c", 1, 1)],
         [(T0 - MINUTE, "p", "c", 1, 1), (T0 + 30 * MINUTE, "p", "c", 1, 1)],
     ]
@@ -173,8 +169,8 @@ def test_clicks_behind_the_watermark_are_dropped(spark, tmp_path):
     tables = AdTables(str(tmp_path / "out"))
     feed = read_parquet_stream(spark, folder, AD_CLICK, files_per_batch=1)
     pipelines.drain(pipelines.trend_stream(feed, tables), 300)
-    found = sorted((r["hour"], r["minute"], r["click_count"]) for r in tables.trend.latest(spark).collect())
-    assert found == [("09", "00", 1), ("09", "30", 1), ("10", "01", 2)]
+    found = sorted((r["hour"], r["minute"], r["click_count"]) for r in tables.trend.totals(spark).collect())
+    assert found == [("08", "59", 1), ("09", "00", 1), ("09", "30", 1), ("10", "01", 2)]
 
 
 def test_all_queries_on_log_lines(spark, sf_dir, tmp_path):
@@ -188,31 +184,66 @@ def test_all_queries_on_log_lines(spark, sf_dir, tmp_path):
 
     clicks = parse_ad_log(star.ad_log_lines(spark, sf_dir)).clicks
     assert _same(tables.stat.totals(spark), adclicks.ad_stat(clicks))
-    assert _same(tables.trend.latest(spark), adclicks.click_trend(clicks))
+    assert _same(tables.trend.totals(spark), adclicks.click_trend(clicks))
     heavy = adclicks.heavy_clickers(adclicks.user_daily_counts(clicks), 2)
     assert _same(tables.blacklist.all(spark), heavy)
 
 
 def test_change_log(spark, tmp_path):
-    def log(name):
-        return ChangeLog(str(tmp_path / name), ["date", "k"], "n", "date DATE, k BIGINT, n BIGINT")
-
     def rows(*values):
         return spark.createDataFrame([(dt.date(2024, 1, d), k, n) for d, k, n in values], "date DATE, k BIGINT, n BIGINT")
 
-    table = log("a")
-    assert table.latest(spark).count() == 0
+    table = ChangeLog(str(tmp_path / "a"), ["date", "k"], "n", "date DATE, k BIGINT, n BIGINT")
+    assert table.totals(spark).count() == 0
     table.write_batch(rows((1, 1, 5), (1, 2, 1)), 0)
     table.write_batch(rows((1, 1, 7), (2, 1, 3)), 1)
     table.write_batch(rows((1, 1, 7), (2, 1, 3)), 1)
-    assert sorted(r["n"] for r in table.latest(spark).collect()) == [1, 3, 7]
     assert sorted(r["n"] for r in table.totals(spark).collect()) == [1, 3, 12]
     assert sorted(r["n"] for r in table.totals(spark, upto=0).collect()) == [1, 5]
     first = [dt.date(2024, 1, 1)]
-    assert sorted(r["n"] for r in table.latest(spark, first).collect()) == [1, 7]
-    folded = log("b")
-    table.compact(spark, folded, additive=True, days=first)
-    assert sorted(r["n"] for r in folded.totals(spark).collect()) == [1, 12]
+    assert sorted(r["n"] for r in table.totals(spark, first).collect()) == [1, 12]
+
+
+def test_the_folders_that_a_batch_reads_are_bounded(spark, tmp_path):
+    schema = "date DATE, k BIGINT, n BIGINT"
+    counts = ChangeLog(str(tmp_path / "counts"), ["date", "k"], "n", schema, fold_every=5)
+    users = BatchLog(str(tmp_path / "users"), "k BIGINT", DataFrame.distinct, fold_every=5)
+    for batch_id in range(50):
+        for again in range(2 if batch_id % 7 == 0 or batch_id % 5 == 0 else 1):  # some batches are repeated
+            counts.fold(spark, batch_id)
+            users.fold(spark, batch_id)
+            rows = spark.createDataFrame([(dt.date(2024, 1, 1 + batch_id % 3), 1, 1)], schema).coalesce(1)
+            counts.write_batch(rows, batch_id)
+            users.write_batch(spark.createDataFrame([(batch_id % 4,)], "k BIGINT").coalesce(1), batch_id)
+        for log in (counts, users):
+            base, after = log.folders(spark, batch_id)
+            assert after.count(",") < 5 and (base is None) == (batch_id < 5)
+            assert len(os.listdir(f"{log.path}/log")) <= 2 * 5
+    assert sum(r["n"] for r in counts.totals(spark).collect()) == 50
+    assert counts.totals(spark, upto=48).agg(F.sum("n")).head()[0] == 49
+    assert sorted(r["k"] for r in users.all(spark).collect()) == [0, 1, 2, 3]
+    assert len(os.listdir(f"{counts.path}/base")) <= 2
+
+
+def test_replay_equals_a_plain_simulation(spark, clicks, tmp_path):
+    tables = AdTables(str(tmp_path / "out"), keep_clicks=True, fold_every=2)
+    pipelines.replay(clicks, tables, days=6, threshold=2)
+    everything = [tuple(r) for r in clicks.select(*[f.name for f in AD_CLICK.fields]).collect()]
+    start = min(c[0] for c in everything).date()
+    slices = {}
+    for click in everything:
+        slices.setdefault((click[0].date() - start).days // 6, []).append(click)
+    listed, counts, kept = _expected_clean([slices[k] for k in sorted(slices)], 2)
+    assert sorted(r[0] for r in tables.blacklist.all(spark).collect()) == sorted(listed)
+    assert sorted(map(str, (tuple(r) for r in tables.clicks.all(spark).collect()))) == sorted(map(str, kept))
+    totals = tables.user_counts.totals(spark).collect()
+    assert {(r["date"], r["user_id"], r["ad_id"]): r["click_count"] for r in totals} == counts
+
+
+def test_clicks_of_closed_batches_go(spark, feed, tmp_path):
+    tables = AdTables(str(tmp_path / "out"))
+    pipelines.drain(pipelines.clean_click_stream(feed, tables, threshold=2), 300)
+    assert os.listdir(f"{tables.clicks.path}/log") == ["batch_id=2"]
 
 
 def test_progress_is_kept_in_the_checkpoint(spark, feed, tmp_path):

@@ -28,7 +28,7 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Colu
     """
     parts = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != F.lit(""))
     hashes = F.transform(parts, lambda w: F.xxhash64(w))
-    threshold = F.lit(-(1 << 63) + (1 << 64) // scale)
+    largest = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
 
     def shingles(h: Column) -> Column:
         n = F.size(h)
@@ -40,7 +40,7 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Colu
         none = F.array().cast("array<bigint>")
         return F.when(n >= words, several).when(n > 0, whole).otherwise(none)
 
-    return F.array_sort(F.array_distinct(F.filter(_bound(hashes, shingles), lambda h: h < threshold)))
+    return F.array_sort(F.array_distinct(F.filter(_bound(hashes, shingles), lambda h: h <= largest)))
 
 
 def merge(left: Column, right: Column) -> Column:

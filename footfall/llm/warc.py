@@ -116,7 +116,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     system, inner = _open(path)
                     system.create_dir(inner.rpartition("/")[0], recursive=True)
-                    out = system.open_output_stream(inner)
+                    out = system.open_output_stream(inner, compression=None)
                 if row["chunk_no"] == 0:
                     if packer is not None:
                         out.write(packer.compress(b"\r\n\r\n") + packer.flush())
@@ -224,7 +224,7 @@ def read_archives(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data: b
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, inner = _open(path)
-                with system.open_input_stream(inner) as source:
+                with system.open_input_stream(inner, compression=None) as source:
                     rows, held = [], 0
                     for row in _records(io.BufferedReader(_Members(source), READ_BYTES), chunk_bytes):
                         held += len(row[2]) + 200

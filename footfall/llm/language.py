@@ -25,7 +25,7 @@ UNKNOWN = "und"
 UNIT = 128  # code lengths are kept in fractions of a bit
 PIECE_BYTES = 1 << 19
 
-START = b"\xff" * ORDER  # context of a text's beginning; 0xFF is no byte of UTF-8, so its symbol is 0
+START = b"\xff" * ORDER  # context of a text's beginning; 0xFF is no byte of UTF-8
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -33,7 +33,8 @@ _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 class Model:
     """Frozen trees of all languages, laid out for lookup.
 
-    ``codes`` maps bytes to symbols: one for each byte met in training, 0 for all others. ``rows`` maps the last ``ORDER``
+    ``codes`` maps bytes to symbols: one for each byte met in training, one for the mark of
+    beginnings, and 0 for all others. ``rows`` maps the last ``ORDER``
     symbols to a row of ``bits``, whose entry for row and next symbol has each language's code length.
     """
 
@@ -61,8 +62,9 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
         return Model((), np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.uint16))
     met = np.unique(np.frombuffer(b"".join(t for texts in samples.values() for t in texts), np.uint8))
     codes = np.zeros(256, np.uint8)
-    codes[met] = np.arange(1, len(met) + 1)
-    base = len(met) + 1
+    codes[0xFF] = 1
+    codes[met] = np.arange(2, len(met) + 2)
+    base = len(met) + 2
     strings = {}
     for name, texts in samples.items():
         symbols, begins = _joined([(START, t) for t in texts], codes)

@@ -3,7 +3,8 @@
 A session is cut into slices of time. Pages are paired inside each slice, and where one slice ends
 the next slice of the same session goes on. The pairs are those of the whole session in order, but
 no task has to sort a session that holds a large share of all actions: such a session is spread over
-its slices, and only two rows per slice meet again.
+its slices, and only two rows per slice meet again. A slice with very many views, a burst, is cut
+once more, by the second.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql.window import Window
 from footfall.functions.numbers import ratio
 
 SLICE_MINUTES = 10
-_SLICE = ("session_id", "slice")
+_SLICE = ("session_id", "slice", "second")
+# A slice of which this many of one in ``SAMPLED`` views are found is cut by the second. Only the
+# largest so many are; any other holds less than one in ``MAX_BURSTS`` of all views.
+SAMPLED, BURST, MAX_BURSTS = 1024, 64, 10_000
 
 
 def flow_pairs(flow: Sequence[int]) -> list[tuple[int, int]]:
@@ -38,8 +42,19 @@ def flow_steps(df: DataFrame, flow_text: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(F.when(F.size(pages) > 1, steps)))
 
 
-def _sliced(actions: DataFrame, minutes: int) -> DataFrame:
-    """Page views with the next page inside the slice. One shuffle, by session and slice."""
+def bursts(views: DataFrame, sampled: int = SAMPLED, burst: int = BURST) -> DataFrame:
+    """The slices with very many views, counted on a sample: it decides how views are spread, not what comes out."""
+    some = views.where(F.pmod(F.xxhash64("session_id", "action_time", "page_id"), F.lit(sampled)) == 0)
+    counts = some.groupBy("session_id", "slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= burst)
+    largest = counts.orderBy(F.desc("n"), "session_id", "slice").limit(MAX_BURSTS)
+    return largest.select("session_id", "slice", F.lit(True).alias("burst"))
+
+
+def _sliced(actions: DataFrame, minutes: int, sampled: int = SAMPLED, burst: int = BURST) -> DataFrame:
+    """Page views with the next page inside the slice. One shuffle, by session and slice.
+
+    Views of the same instant stay together: they are ordered by page.
+    """
     kind = actions.schema["action_time"].dataType
     epoch = F.lit("1970-01-01 00:00:00").cast(kind)
     slice_no = F.floor(F.timestamp_diff("MINUTE", epoch, F.col("action_time")) / minutes)
@@ -47,6 +62,9 @@ def _sliced(actions: DataFrame, minutes: int) -> DataFrame:
     views = actions.where(F.col("page_id").isNotNull()).select(
         "session_id", slice_no.alias("slice"), "action_time", "page_id"
     )
+    second = F.when(F.col("burst"), F.timestamp_diff("SECOND", epoch, F.col("action_time"))).otherwise(F.lit(0))
+    views = views.join(F.broadcast(bursts(views, sampled, burst)), ["session_id", "slice"], "left")
+    views = views.select("session_id", "slice", second.alias("second"), "action_time", "page_id")
     return views.withColumns(
         {
             "next_page": F.lead("page_id").over(in_slice),
@@ -63,12 +81,14 @@ def _slice_ends() -> list[Column]:
 
 
 def _next_slice_page() -> Column:
-    return F.lead("first_page").over(Window.partitionBy("session_id").orderBy("slice"))
+    return F.lead("first_page").over(Window.partitionBy("session_id").orderBy("slice", "second"))
 
 
-def page_pairs(actions: DataFrame, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
+def page_pairs(
+    actions: DataFrame, slice_minutes: int = SLICE_MINUTES, sampled: int = SAMPLED, burst: int = BURST
+) -> DataFrame:
     """Every step from one page to the next inside a session, as rows."""
-    sliced = _sliced(actions, slice_minutes)
+    sliced = _sliced(actions, slice_minutes, sampled, burst)
     inside = sliced.where(F.col("next_page").isNotNull()).select(
         "session_id", F.col("page_id").alias("from_page"), F.col("next_page").alias("to_page")
     )

@@ -187,3 +187,19 @@ def test_top_products_need_a_known_product(spark):
     )
     info = spark.createDataFrame([(i, f"p{i}", None) for i in (1, 2, 3, 4)], schemas.PRODUCT_INFO)
     assert [r["product_id"] for r in products.top_products(counts, info).orderBy("product_id").collect()] == [1, 2, 4]
+
+
+def test_a_burst_inside_one_minute_is_split(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(2000):
+        hot = rng.random() < 0.8
+        time = START + dt.timedelta(seconds=rng.randrange(55) if hot else rng.randrange(7200))
+        rows.append(action("hot" if hot or rng.random() < 0.5 else f"s{rng.randrange(9)}", time, page=rng.randrange(5)))
+    actions = frame(spark, rows)
+    counted = funnel.pair_counts(funnel.page_pairs(actions, sampled=1, burst=50))
+    assert {(r[0], r[1]): r[2] for r in counted.collect()} == _brute_pairs(rows)
+    keys = funnel._sliced(actions, 10, 1, 50).groupBy("session_id", "slice", "second").count()
+    assert keys.agg(F.max("count")).head()[0] < 100
+    unsplit = funnel._sliced(actions, 10).groupBy("session_id", "slice", "second").count()
+    assert unsplit.agg(F.max("count")).head()[0] > 1000

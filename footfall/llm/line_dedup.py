@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,6 +17,9 @@ BANDS = 12
 ROWS = 5
 THRESHOLD = 0.8
 BATCH_CHARS = 1 << 21
+BLOCK_LINES = 500
+BLOCK_CHARS = 500_000
+SLICE_BITS = 1 << 14
 
 _BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -200,12 +204,80 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def block_links(contents: list[str], roots: np.ndarray, sides: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Places of lines of different roots that are alike, enough to connect all such; only pairs across two sides.
+
+    Where all lines are on one side, all pairs are compared. Each line is a row of bits, one for each distinct shingle,
+    and shared shingles are counted for one line against all others at once, some thousand shingles at a time.
+    """
+    numbers: dict[str, int] = {}
+    sets = [np.array([numbers.setdefault(x, len(numbers)) for x in shingles(c)], np.int64) for c in contents]
+    sizes = np.array([len(x) for x in sets])
+    n = len(sets)
+    shared = np.zeros((n, n), np.int32)
+    owner, every = np.repeat(np.arange(n), sizes), np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner, every = owner[order], every[order]
+    for first in range(0, len(numbers), SLICE_BITS):
+        low, high = np.searchsorted(every, [first, first + SLICE_BITS])
+        bits = np.zeros((n, SLICE_BITS), np.uint8)
+        bits[owner[low:high], every[low:high] - first] = 1
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        for i in range(n - 1):
+            shared[i, i + 1 :] += np.bitwise_count(words[i] & words[i + 1 :]).sum(axis=1, dtype=np.int32)
+    across = len(np.unique(sides)) > 1
+    root, found = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(n - 1):
+        total = sizes[i] + sizes[i + 1 :] - shared[i, i + 1 :]
+        alike = (shared[i, i + 1 :] >= threshold * total) & (roots[i + 1 :] != roots[i])
+        if across:
+            alike &= sides[i + 1 :] != sides[i]
+        for j in np.flatnonzero(alike) + i + 1:
+            if find(i) != find(int(j)):
+                root[find(i)] = find(int(j))
+                found.append((i, int(j)))
+    return found
+
+
+def crossing_links(rest: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK_LINES) -> DataFrame:
+    """Links ``a, b`` between lines that share a band but have different roots.
+
+    A band's lines are dealt into blocks of a bounded number of lines and characters, and each pair of blocks is
+    compared in a task's group of its own. So no group grows with the band, and no pairs are listed but links.
+    """
+    texts = texts.groupBy("line").agg(F.max("content").alias("content"))
+    lines = rest.select("band", "line", "root").join(texts, "line")
+    sums = lines.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    own = F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")
+    with_own = lines.join(sums.select("band", blocks), "band").withColumn("own", own)
+    dealt = with_own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        found = block_links(
+            group["content"].tolist(), group["root"].to_numpy(), group["own"].to_numpy(), threshold
+        )
+        lines = group["line"].to_numpy()
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": lines[pairs[:, 0]], "b": lines[pairs[:, 1]]})
+
+    return dealt.groupBy("band", "one", "two").applyInPandas(compare, "a long, b long").distinct()
+
+
 def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     """Lines linked to others, with the smallest line of their component: ``node, root``.
 
     Lines that share a band are compared with the smallest line of the band first, and what is linked is put together.
     Only where a band then still holds lines of several components are lines of different ones compared with each
-    other. So every pair of a band is linked, or linked over others, or compared; a group of many near copies costs one
+    other, in blocks. So every pair of a band is linked, or linked over others, or compared; a group of many near copies costs one
     comparison a line, and no bands' pairs are listed.
     """
     dealt = seen.filter("bands IS NOT NULL").select("line", F.explode("bands").alias("band"))
@@ -228,10 +300,7 @@ def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, thresho
     mixed = scratch.table(mixed.select("band"), "mixed-bands")
     # The least line of a band has been compared with all others.
     rest = scratch.table(placed.join(mixed, "band", "left_semi").filter("line <> least"), "rest")
-    others = rest.select("band", F.col("line").alias("b"), F.col("root").alias("root_b"))
-    crossing = rest.select("band", F.col("line").alias("a"), F.col("root").alias("root_a")).join(others, "band")
-    crossing = crossing.filter("a < b AND root_a <> root_b").select("a", "b").distinct()
-    more = scratch.table(verified(crossing, texts, threshold), "cross-links")
+    more = scratch.table(crossing_links(rest, texts, threshold), "cross-links")
     if more.isEmpty():
         return roots
     again = Scratch(keyed.sparkSession, "line-dedup-again")

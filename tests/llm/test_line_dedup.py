@@ -129,3 +129,37 @@ def test_signatures_estimate_similarity():
     one, two = L.signatures([a, b])
     assert abs((one == two).mean() - real) < 0.2
     assert (L.signatures(["abc"])[0] == L.signatures(["abc"])[0]).all()
+
+
+@pytest.mark.parametrize("block", [5, 500])
+def test_lines_of_a_crowded_band_are_compared_in_blocks(spark, block):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    base = words[:60]
+    lines = []
+    for _ in range(120):
+        line = list(base)
+        for at in rng.sample(range(60), rng.randint(1, 5)):
+            line[at] = rng.choice(words)
+        lines.append(" ".join(line))
+    lines.append("ab")
+    sets = [L.shingles(x) for x in lines]
+    rest = spark.createDataFrame([(1, n, n // 2, 0) for n in range(len(lines))], "band long, line long, root long, least long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "line long, content string")
+    got = [tuple(r) for r in L.crossing_links(rest, texts, 0.8, block).collect()]
+    assert all(L.jaccard(sets[a], sets[b]) >= 0.8 and a // 2 != b // 2 for a, b in got)
+
+    def groups(links):
+        root = list(range(len(lines)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in [*links, *((n, n + 1) for n in range(0, len(lines) - 1, 2))]:
+            root[find(a)] = find(b)
+        return {frozenset(m for m in range(len(lines)) if find(m) == find(n)) for n in range(len(lines))}
+
+    every = [(a, b) for a in range(len(lines)) for b in range(a) if L.jaccard(sets[a], sets[b]) >= 0.8]
+    assert groups(got) == groups(every)

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from footfall.llm.common import Scratch, body, bounded_batches
 from footfall.llm.components import connected_components
 
-SHINGLE_CHARS = 6
+SHINGLE_CHARS = 6  # even: shingles are hashed in pairs of characters
 BANDS = 12
 ROWS = 5
 THRESHOLD = 0.8
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 18  # small arrays stay in the processor's cache
 BLOCK_LINES = 500
 BLOCK_CHARS = 500_000
 SLICE_BITS = 1 << 14
@@ -60,23 +60,29 @@ def signatures(lines: list[str]) -> np.ndarray:
     """
     pad = "\0" * (SHINGLE_CHARS - 1)
     lengths = np.array([len(s) for s in lines], np.int64)
-    codes = np.frombuffer("".join(s + pad for s in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    codes += np.uint64(1)
-    factor = _MIX[0]
-    rolled = codes[: len(codes) - SHINGLE_CHARS + 1].copy()
-    for k in range(1, SHINGLE_CHARS):
-        rolled *= factor
-        rolled += codes[k : len(codes) - SHINGLE_CHARS + 1 + k]
-    hashes = _mixed(rolled)
-    starts = np.cumsum(lengths + len(pad)) - (lengths + len(pad))
-    counts = np.maximum(1, lengths - SHINGLE_CHARS + 1)
-    # A line's shingles begin at its first ``counts`` places; those that reach into the padding are left out.
-    owner = np.repeat(np.arange(len(lines)), counts)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes = hashes[starts[owner] + within]
-    bins = ((hashes >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)
+    codes = np.frombuffer(pad.join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes) - SHINGLE_CHARS + 1
+    pairs = codes[:-1].astype(np.uint64)
+    pairs *= _MIX[0]
+    pairs += codes[1:]
+    hashes = pairs[:n].copy()
+    for k in range(2, SHINGLE_CHARS, 2):
+        hashes *= _MIX[1]
+        hashes += pairs[k : n + k]
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= _MIX[2]
+    hashes ^= hashes >> np.uint64(32)
+    # A line's shingles begin at its first places, one at least; those that reach into the next line are left out.
+    counts = np.maximum(1, lengths - len(pad))
+    valid = np.repeat(np.tile([True, False], len(lines)), np.stack([counts, lengths + len(pad) - counts], axis=1).ravel())[:n]
+    values = np.where(valid, hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE), _EMPTY)
+    hashes >>= np.uint64(32)
+    hashes *= np.uint64(_BINS)
+    hashes >>= np.uint64(32)
+    places = hashes.view(np.int64)
+    places += np.repeat(np.arange(len(lines)) * _BINS, lengths + len(pad))[:n]
     out = np.full(len(lines) * _BINS, _EMPTY, np.uint32)
-    np.minimum.at(out, owner * _BINS + bins.astype(np.int64), hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE))
+    np.minimum.at(out, places, values)
     out = out.reshape(-1, _BINS)
     first = out.copy()
     for turn in range(_BINS):
@@ -252,7 +258,6 @@ def crossing_links(rest: DataFrame, texts: DataFrame, threshold: float, block: i
     A band's lines are dealt into blocks of a bounded number of lines and characters, and each pair of blocks is
     compared in a task's group of its own. So no group grows with the band, and no pairs are listed but links.
     """
-    texts = texts.groupBy("line").agg(F.max("content").alias("content"))
     lines = rest.select("band", "line", "root").join(texts, "line")
     sums = lines.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
@@ -337,34 +342,35 @@ def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple
     keepers = scratch.table(placed.join(least, "root").select("line", "keeper.key", "keeper.line_no"), "keepers")
     keepers = keepers.select("line", F.col("key").alias("keep_key"), F.col("line_no").alias("keep_no"))
 
-    judged = seen.select("key", "line_no", "line").distinct().join(keepers, "line")
+    judged = seen.select("key", "line_no", "line").join(keepers, "line")
     kept = F.when((F.col("key") == F.col("keep_key")) & (F.col("line_no") == F.col("keep_no")), F.col("line_no"))
     # A document's own line numbers: no more than it has lines.
-    left = judged.groupBy("key").agg(F.collect_list(kept).alias("kept"), F.count("*").alias("n_lines"))
+    left = judged.groupBy("key").agg(F.collect_set(kept).alias("kept"))
     left = scratch.table(left, "left")
 
     def rebuild(batches):
         for batch in batches:
-            ids, texts, kept_numbers, totals, *others = batch.columns
-            out, counts = [], []
+            ids, texts, kept_numbers, *others = batch.columns
+            out, totals, counts = [], [], []
             for text, numbers in zip(texts.to_pylist(), kept_numbers.to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                filled = [bool(line.strip()) for line in lines]
+                totals.append(sum(filled))
                 counts.append(len(numbers or ()))
-                if text is None or numbers is None:
+                if counts[-1] == totals[-1]:
                     out.append(text)
                 elif not numbers:
                     out.append("")
                 else:
                     stays = set(numbers)
-                    lines = enumerate(text.split("\n"))
-                    out.append("\n".join(x for n, x in lines if n in stays or not normalised(x)))
-            columns = [ids, pa.array(out, pa.string()), totals, pa.array(counts, pa.int64()), *others]
+                    out.append("\n".join(x for n, x in enumerate(lines) if n in stays or not filled[n]))
+            columns = [ids, pa.array(out, pa.string()), pa.array(totals, pa.int64()), pa.array(counts, pa.int64()), *others]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_kept", *keep])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text, key = F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", body()).alias("key")
     own = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("own")] if keep else []
     whole = docs.select("doc_id", text, key, *own).join(left, "key", "left")
-    totals = F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines")
-    whole = whole.select("doc_id", "text", "kept", totals, *(["own.*"] if keep else []))
+    whole = whole.select("doc_id", "text", "kept", *(["own.*"] if keep else []))
     others = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return whole.mapInArrow(rebuild, f"doc_id {kind}, text string, n_lines long, n_kept long{others}")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.session import materialize, shared_folder
+from footfall.session import local_fallback, materialize, shared_folder
+from footfall.sinks.folders import remove
 
 # An Arrow batch is cut at either bound, so a task's memory follows neither the number nor the length of texts.
 BATCH_SETTINGS = {
@@ -35,13 +35,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, purpose: str):
         spark.conf.set(CLEANUP, "true")
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        self.path = shared_folder(spark, purpose, fallback=tempfile.gettempdir() if local else None)
+        self.spark = spark
+        self.path = shared_folder(spark, purpose, fallback=local_fallback(spark))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write a frame and read it back: lineage ends there, and a lost executor costs nothing."""
         return materialize(df, f"{self.path}/{name}")
 
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in names:
+            remove(self.spark, f"{self.path}/{name}")
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -23,7 +23,7 @@ def connected_components(links: DataFrame, scratch: Scratch, jumps: int = JUMPS)
     """
     links = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     links = scratch.table(links.distinct(), "links-0")
-    labels, level = None, 0
+    labels, level, held = None, 0, ""
     while True:
         level += 1
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,12 +33,16 @@ def connected_components(links: DataFrame, scratch: Scratch, jumps: int = JUMPS)
             further = points.select(F.col("node").alias("root"), F.col("root").alias("further"))
             points = points.join(further, "root").select("node", F.col("further").alias("root"))
             points = scratch.table(points, f"points-{level}-{jump}")
+            scratch.drop(f"points-{level}-{jump - 1}")
+        last = f"points-{level}-{jumps}"
         if labels is None:
-            labels = points
+            labels, held = points, last
         else:
             moved = points.select(F.col("node").alias("root"), F.col("root").alias("further"))
             labels = labels.join(moved, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
             labels = scratch.table(labels, f"labels-{level}")
+            scratch.drop(held)
+            held = f"labels-{level}"
         left = points.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = points.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         links = (
@@ -49,5 +53,6 @@ def connected_components(links: DataFrame, scratch: Scratch, jumps: int = JUMPS)
             .distinct()
         )
         links = scratch.table(links, f"links-{level}")
+        scratch.drop(f"links-{level - 1}", *([last] if last != held else []))
         if links.isEmpty():
             return labels

@@ -306,6 +306,7 @@ def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, thresho
     # The least line of a band has been compared with all others.
     rest = scratch.table(placed.join(mixed, "band", "left_semi").filter("line <> least"), "rest")
     more = scratch.table(crossing_links(rest, texts, threshold), "cross-links")
+    scratch.drop("full-bands", "members", "texts", "placed", "mixed-bands", "rest")
     if more.isEmpty():
         return roots
     again = Scratch(keyed.sparkSession, "line-dedup-again")

@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     distinct = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = links(distinct, distinct.count(), scratch, radius)
     roots = connected_components(found, scratch)
+    scratch.drop(*(f"met-{turn}" for turn in range(PASSES)))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )

@@ -170,12 +170,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return every.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each group the document with the smallest ``doc_id``.
 
     Rows of one id stay or go together, but of rows that agree in id and text one stays. A group without ids stays as
     one row per text.
     """
-    stay = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
+    stay = near_duplicates(docs, words).filter("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
     kept = docs.join(stay, F.expr("doc_id <=> stays"), "left_semi")
     return kept.withColumn("same text", F.xxhash64(body())).dropDuplicates(["doc_id", "same text"]).select(docs.columns)

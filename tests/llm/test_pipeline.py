@@ -52,7 +52,7 @@ def test_rows_are_those_of_the_stages_by_brute_force(spark, tmp_path):
     kept = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
     left = brute_lines(kept)
     kept = [(i, left[i, t][0]) for i, t in kept if left[i, t][2] or not left[i, t][1]]
-    prints = {i: brute_print(t) for i, t in kept}
+    prints = {i: brute_print(t, 5) for i, t in kept}
     root = brute_components(set(prints.values()))
     first = {}
     for i, _ in kept:

@@ -10,12 +10,12 @@ from footfall.llm.common import Scratch
 from footfall.llm.components import connected_components
 
 
-def brute_print(text):
+def brute_print(text, size=4):
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    n = max(1, len(words) - 3)
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(n)]
+    n = max(1, len(words) - size + 1)
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(n)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
 
 

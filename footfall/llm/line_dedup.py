@@ -17,6 +17,7 @@ BANDS = 12
 ROWS = 5
 THRESHOLD = 0.8
 BATCH_CHARS = 1 << 18  # small arrays stay in the processor's cache
+FEW_LINES = 32  # bands of so many lines have their pairs listed, larger ones are compared in blocks
 BLOCK_LINES = 500
 BLOCK_CHARS = 500_000
 SLICE_BITS = 1 << 14
@@ -51,13 +52,8 @@ def _probes() -> np.ndarray:
 _PROBES = _probes()
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """The minimum hashes of each line's shingles, one for each of the bins that the hashes are dealt into.
-
-    Every shingle is hashed once and falls into one bin. A bin without shingles takes the value of the first bin with
-    some, in an order of its own, so two lines agree in a bin with a probability that is their Jaccard similarity. A line
-    shorter than a shingle is one shingle.
-    """
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash at each character of lines in a row, padded; which of them are shingles; and the padded lengths."""
     pad = "\0" * (SHINGLE_CHARS - 1)
     lengths = np.array([len(s) for s in lines], np.int64)
     codes = np.frombuffer(pad.join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -73,14 +69,26 @@ def signatures(lines: list[str]) -> np.ndarray:
     hashes *= _MIX[2]
     hashes ^= hashes >> np.uint64(32)
     # A line's shingles begin at its first places, one at least; those that reach into the next line are left out.
+    padded = lengths + len(pad)
     counts = np.maximum(1, lengths - len(pad))
-    valid = np.repeat(np.tile([True, False], len(lines)), np.stack([counts, lengths + len(pad) - counts], axis=1).ravel())[:n]
+    valid = np.repeat(np.tile([True, False], len(lines)), np.stack([counts, padded - counts], axis=1).ravel())[:n]
+    return hashes, valid, padded
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The minimum hashes of each line's shingles, one for each of the bins that the hashes are dealt into.
+
+    Every shingle is hashed once and falls into one bin. A bin without shingles takes the value of the first bin with
+    some, in an order of its own, so two lines agree in a bin with a probability that is their Jaccard similarity. A line
+    shorter than a shingle is one shingle.
+    """
+    hashes, valid, padded = _shingle_hashes(lines)
     values = np.where(valid, hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE), _EMPTY)
     hashes >>= np.uint64(32)
     hashes *= np.uint64(_BINS)
     hashes >>= np.uint64(32)
     places = hashes.view(np.int64)
-    places += np.repeat(np.arange(len(lines)) * _BINS, lengths + len(pad))[:n]
+    places += np.repeat(np.arange(len(lines)) * _BINS, padded)[: len(places)]
     out = np.full(len(lines) * _BINS, _EMPTY, np.uint32)
     np.minimum.at(out, places, values)
     out = out.reshape(-1, _BINS)
@@ -111,6 +119,35 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def alike(xs: list[str], ys: list[str], threshold: float) -> np.ndarray:
+    """Which pairs of lines have a Jaccard similarity of ``threshold`` or more.
+
+    Shingles are compared by hashes of 44 bits, many pairs at once; where the result is near the threshold, the
+    shingles themselves are.
+    """
+    rows = np.uint64(44)
+
+    def keys(lines: list[str]) -> np.ndarray:
+        hashes, valid, padded = _shingle_hashes(lines)
+        owner = np.repeat(np.arange(len(lines), dtype=np.uint64) << rows, padded)[: len(hashes)]
+        found = ((hashes >> np.uint64(20)) | owner)[valid]
+        found.sort()
+        return found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+    def counted(found: np.ndarray) -> np.ndarray:
+        return np.bincount((found >> rows).astype(np.int64), minlength=len(xs))
+
+    a, b = keys(xs), keys(ys)
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = counted(both[1:][both[1:] == both[:-1]])
+    similar = shared / (counted(a) + counted(b) - shared)
+    out = similar >= threshold
+    for n in np.flatnonzero(np.abs(similar - threshold) < 0.02):
+        out[n] = jaccard(shingles(xs[n]), shingles(ys[n])) >= threshold
+    return out
+
+
 def _batches_of(texts: list[str]):
     """Neighbouring texts with a bounded number of characters together, one at least."""
     held, size = [], 0
@@ -188,23 +225,18 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            known: dict[int, frozenset] = {}
-
-            def of(number: int, content: str) -> frozenset:
-                if number not in known:
-                    if len(known) > 200:
-                        known.clear()
-                    known[number] = shingles(content)
-                return known[number]
-
-            found = [
-                (a, b)
-                for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                if jaccard(of(a, x), of(b, y)) >= threshold
-            ]
+            a, b = (batch.column(n).to_numpy(zero_copy_only=False) for n in (0, 1))
+            xs, ys = (batch.column(n).to_pylist() for n in (2, 3))
+            ends, size = [0], 0
+            for n, (x, y) in enumerate(zip(xs, ys, strict=True), 1):
+                size += len(x) + len(y)
+                if size >= BATCH_CHARS or n == len(xs):
+                    ends.append(n)
+                    size = 0
+            found = [alike(xs[i:j], ys[i:j], threshold) for i, j in zip(ends, ends[1:], strict=False) if j > i]
             if found:
-                columns = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+                keep = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "content_a", "content_b")
     return joined.mapInArrow(run, "a long, b long")
@@ -252,6 +284,16 @@ def block_links(contents: list[str], roots: np.ndarray, sides: np.ndarray, thres
     return found
 
 
+def few_crossing(rest: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` to compare in bands of few lines: no more than a fixed number for each line. ``linked`` is false."""
+    member = F.struct("line", "root")
+    groups = rest.groupBy("band").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    one = groups.select("m", F.explode("m").alias("x"))
+    others = F.filter("m", lambda y: (y["line"] > F.col("x.line")) & (y["root"] != F.col("x.root")))
+    pairs = one.select(F.col("x.line").alias("a"), F.explode(others).alias("y"))
+    return pairs.select("a", F.col("y.line").alias("b"), F.lit(False).alias("linked"))
+
+
 def crossing_links(rest: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK_LINES) -> DataFrame:
     """Links ``a, b`` between lines that share a band but have different roots.
 
@@ -305,8 +347,15 @@ def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, thresho
     mixed = scratch.table(mixed.select("band"), "mixed-bands")
     # The least line of a band has been compared with all others.
     rest = scratch.table(placed.join(mixed, "band", "left_semi").filter("line <> least"), "rest")
-    more = scratch.table(crossing_links(rest, texts, threshold), "cross-links")
-    scratch.drop("full-bands", "members", "texts", "placed", "mixed-bands", "rest")
+    sizes = scratch.table(rest.groupBy("band").agg(F.count("*").alias("n")), "sizes")
+    few = rest.join(sizes.filter(F.col("n") <= FEW_LINES).select("band"), "band", "left_semi")
+    many = rest.join(sizes.filter(F.col("n") > FEW_LINES).select("band"), "band", "left_semi")
+    crossing = few_crossing(few).unionByName(crossing_links(many, texts, threshold).withColumn("linked", F.lit(True)))
+    crossing = scratch.table(crossing, "crossing")
+    listed = verified(crossing.filter("not linked").select("a", "b").distinct(), texts, threshold)
+    more = listed.unionByName(crossing.filter("linked").select("a", "b"))
+    more = scratch.table(more, "cross-links")
+    scratch.drop("sizes", "crossing", "full-bands", "members", "texts", "placed", "mixed-bands", "rest")
     if more.isEmpty():
         return roots
     again = Scratch(keyed.sparkSession, "line-dedup-again")

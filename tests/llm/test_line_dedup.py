@@ -101,6 +101,11 @@ def test_null_id_comes_last(spark):
     assert got == {5: "same line of text", None: ""}
 
 
+def test_crowded_bands_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(L, "FEW_LINES", 2)
+    check(spark, varied(1, 120))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.deduplicate_lines(df).collect() == []
@@ -163,3 +168,15 @@ def test_lines_of_a_crowded_band_are_compared_in_blocks(spark, block):
 
     every = [(a, b) for a in range(len(lines)) for b in range(a) if L.jaccard(sets[a], sets[b]) >= 0.8]
     assert groups(got) == groups(every)
+
+
+def test_pairs_are_verified_exactly():
+    rng = random.Random(4)
+    lines = [L.normalised(x) for _, t in varied(7, 60) for x in t.split("\n") if x.strip()] + ["a", "ab", "abcdef", "abcdefg"]
+    xs, ys = ([rng.choice(lines) for _ in range(3000)] for _ in range(2))
+    for n, parts in enumerate(x.split(" ") for x in xs[:1500]):
+        parts[rng.randrange(len(parts))] = "other"
+        ys[n] = " ".join(parts)
+    for threshold in (0.8, 0.5, 1.0):
+        got = L.alike(xs, ys, threshold).tolist()
+        assert got == [L.jaccard(L.shingles(x), L.shingles(y)) >= threshold for x, y in zip(xs, ys)]

@@ -13,8 +13,8 @@ from footfall.sinks.folders import remove
 
 # An Arrow batch is cut at either bound, so a task's memory follows neither the number nor the length of texts.
 BATCH_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
 }
 # Jobs of several steps write each step out; its shuffle files are then of no more use and go at once.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -20,7 +20,9 @@ from footfall.llm.common import body, bounded_batches
 
 ORDER = 3
 SAMPLE_ROWS = 400  # labelled texts a language that the trees are counted on
-SAMPLE_BYTES = 1 << 16  # longer texts are left out of that sample
+SAMPLE_BYTES = 1 << 16  # of longer texts that sample has the beginning
+TOTAL_BYTES = 1 << 27  # of the sample of all languages together
+MODEL_BYTES = 1 << 27  # of the frozen trees of all languages together
 UNKNOWN = "und"
 UNIT = 128  # code lengths are kept in fractions of a bit
 PIECE_BYTES = 1 << 19
@@ -55,8 +57,12 @@ def _joined(pieces: list[tuple[bytes, bytes]], codes: np.ndarray) -> tuple[np.nd
     return symbols, np.concatenate([[0], ends[:-1]]) + ORDER
 
 
-def fit(samples: dict[str, list[bytes]]) -> Model:
-    """Count the trees of each language on its samples and freeze them."""
+def fit(samples: dict[str, list[bytes]], max_bytes: int = MODEL_BYTES) -> Model:
+    """Count the trees of each language on its samples and freeze them.
+
+    Where the frozen trees would take more than ``max_bytes``, every language's sample is halved until they don't; each
+    keeps one text at least, and of that a few bytes.
+    """
     languages = tuple(sorted(samples))
     if not languages:
         return Model((), np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.uint16))
@@ -85,6 +91,9 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
     known = [np.unique(np.concatenate([grams[n, k][0] // base for n in languages])) for k in range(ORDER + 1)]
     known[0] = np.array([0])
     first = np.concatenate([[0], np.cumsum([len(k) for k in known])])
+    halves = {n: t[: len(t) // 2] if len(t) > 1 else [t[0][: max(2 * ORDER, len(t[0]) // 2)]] for n, t in samples.items()}
+    if 2 * int(first[-1]) * base * len(languages) > max_bytes and halves != samples:
+        return fit(halves, max_bytes)
     rows = np.zeros(base**ORDER, np.int32)
     full = np.arange(base**ORDER, dtype=np.int64)
     for order in range(ORDER + 1):
@@ -182,29 +191,32 @@ def judge(model: Model, texts: list[bytes]) -> list[tuple[str, float, float]]:
     return out
 
 
-def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Model:
+def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, total: int = TOTAL_BYTES) -> Model:
     """Fit on a bounded sample of ``doc_id, text, lang``: the first ``rows`` texts of each language in a random order.
 
-    The order is that of a hash, so the sample is the same in every run. Rows without language or text and texts longer
-    than ``max_bytes`` are not sampled. Without any labelled text the model knows no language and every text is
-    ``und``. The sample, about twice ``rows`` texts a language at most, is all that comes to the driver.
+    The order is that of a hash, so the sample is the same in every run. Rows without language or text are not sampled; all
+    others can be, the longest by their first ``max_bytes`` bytes. Without any labelled text the model knows no language and
+    every text is ``und``. The sample, about twice ``rows`` texts a language, is all that comes to the driver; with many
+    languages fewer bytes a text are taken, so that it has about ``total`` bytes at most.
     """
     draw = F.xxhash64("doc_id", "text")
     usable = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = usable.filter("lang IS NOT NULL")
-    # One row a language. Twice as many texts as wanted are drawn, so that too few are hardly ever.
+    usable = usable.filter("lang IS NOT NULL AND length(text) > 0")
+    # One row a language, of the texts that can be drawn. Twice as many as wanted are, so that too few are hardly ever.
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    texts = counts.agg(F.sum(F.least("n", F.lit(2 * rows)))).first()[0] or 1
+    most = max(1, min(int(max_bytes), total // texts))
     share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n"))
     drawn = (
-        usable.filter(f"length(text) > 0 AND octet_length(text) <= {int(max_bytes)}")
-        .join(F.broadcast(counts), "lang")
+        usable.join(counts, "lang")
         .filter(draw / F.lit(2.0**64) + 0.5 < share)
-        .select("lang", draw.alias("draw"), "text")
+        .select("lang", draw.alias("draw"), F.substring(F.col("text").cast("binary"), 1, most).alias("text"))
         .distinct()
     )
     samples: dict[str, list[tuple[int, bytes]]] = {}
     for row in drawn.collect():
-        samples.setdefault(row.lang, []).append((row.draw, row.text.encode()))
+        whole = bytes(row.text).decode("utf-8", "ignore").encode()  # a character may have been cut
+        samples.setdefault(row.lang, []).append((row.draw, whole or bytes(row.text)))
     return fit({name: [text for _, text in sorted(held)[:rows]] for name, held in samples.items()})
 
 

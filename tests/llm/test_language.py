@@ -97,3 +97,32 @@ def test_the_sample_is_bounded_and_fixed(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one, two = L.train(docs, rows=5), L.train(docs.repartition(5), rows=5)
     assert one.languages == two.languages and (one.bits == two.bits).all() and (one.rows == two.rows).all()
+
+
+def test_languages_of_few_usable_or_only_long_texts_are_learned(spark):
+    rows = [(n, None if n % 3 else "", "few") for n in range(3000)]
+    rows += [(5000 + n, f"peu de mots {n}", "few") for n in range(20)]
+    rows += [(6000 + n, "é" + "lang und breit " * (10 + n), "long") for n in range(30)]
+    rows += [(7000 + n, f"quite short {n}", "short") for n in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(df, rows=5, max_bytes=100)
+    assert model.languages == ("few", "long", "short")
+    got = L.identify(df.filter("doc_id >= 5000"), model, ["doc_id", "lang"]).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+
+
+def test_sample_and_trees_are_bounded_over_all_languages(spark):
+    rng = random.Random(3)
+    rows = [(n, "".join(rng.choices("abcdefghij ", k=200)) + f"{n % 40}" * 9, f"l{n % 40}") for n in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = []
+    fit = L.fit
+    try:
+        L.fit = lambda samples: held.append(samples) or fit(samples)
+        L.train(df, total=8000)
+    finally:
+        L.fit = fit
+    assert len(held[0]) == 40 and sum(len(t) for ts in held[0].values() for t in ts) <= 8000
+    samples = {f"l{n}": [t.encode() for i, t, _ in rows if i % 40 == n] for n in range(40)}
+    model = L.fit(samples, 300_000)
+    assert len(model.languages) == 40 and 0 < model.bits.nbytes <= 300_000 < L.fit(samples).bits.nbytes

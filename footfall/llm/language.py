@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ TOTAL_BYTES = 1 << 27  # of the sample of all languages together
 MODEL_BYTES = 1 << 27  # of the frozen trees of all languages together
 UNKNOWN = "und"
 UNIT = 128  # code lengths are kept in fractions of a bit
+CHANCE = 0.5  # weight of the uniform code where a text's bytes are weighed against chance
 PIECE_BYTES = 1 << 19
 
 START = b"\xff" * ORDER  # context of a text's beginning; 0xFF is no byte of UTF-8
@@ -191,6 +192,17 @@ def judge(model: Model, texts: list[bytes]) -> list[tuple[str, float, float]]:
     return out
 
 
+def hedged(model: Model) -> Model:
+    """A model whose code lengths are those beyond 8 bits of a byte that is uniform with weight ``CHANCE``.
+
+    A byte that the trees do not expect costs one bit more than without any model, whatever its escapes add up to; one that
+    they do expect costs less. The sum over a text grows with it only if most of its bytes are strange.
+    """
+    every = np.arange(65536) / UNIT
+    beyond = -np.log2((1 - CHANCE) * np.exp2(8 - every) + CHANCE)
+    return replace(model, bits=np.rint(beyond * UNIT).astype(np.int16)[model.bits])
+
+
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES, total: int = TOTAL_BYTES) -> Model:
     """Fit on a bounded sample of ``doc_id, text, lang``: the first ``rows`` texts of each language in a random order.
 
@@ -206,9 +218,11 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
     texts = counts.agg(F.sum(F.least("n", F.lit(2 * rows)))).first()[0] or 1
     most = max(1, min(int(max_bytes), total // texts))
-    share = F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n"))
+    share = F.coalesce(F.lit(2.0 * rows) / F.col("n"), F.lit(1.0))
+    # Only languages that are not drawn whole, so that rare labels, however many, are not broadcast.
+    frequent = counts.filter(F.col("n") > 2 * rows)
     drawn = (
-        usable.join(counts, "lang")
+        usable.join(F.broadcast(frequent), "lang", "left")
         .filter(draw / F.lit(2.0**64) + 0.5 < share)
         .select("lang", draw.alias("draw"), F.substring(F.col("text").cast("binary"), 1, most).alias("text"))
         .distinct()
@@ -220,9 +234,12 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_
     return fit({name: [text for _, text in sorted(held)[:rows]] for name, held in samples.items()})
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str], strange: bool = False) -> DataFrame:
     """Predict every row's language from its whole text: the columns ``keep``, then ``lang_pred, score, bits_per_byte``.
 
+    With ``strange`` a column of that name follows: the bits by which the text speaks against every language (``hedged``), 0
+    where the best one predicts it better than chance.
+
     A text that is null or has no letter is ``und`` with score 0. Nothing but the text is looked at. Null ids, repeated
     rows and columns not in ``keep`` do not matter; an empty table gives an empty result. There is no shuffle. ``keep``
     must not name a result column.
@@ -230,22 +247,31 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     spark = bounded_batches(docs.sparkSession)
     # A few MB: bounded by the symbols and the sample, not by the corpus.
     shared = spark.sparkContext.broadcast(model)
-    names = [*keep, "lang_pred", "score", "bits_per_byte"]
+    names = [*keep, "lang_pred", "score", "bits_per_byte", *(["strange"] if strange else [])]
 
     def run(batches):
+        weighed = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = judge(shared.value, [raw.as_buffer().to_pybytes() for raw in batch.column(len(keep))])
-            results = zip(*found, strict=True)
+            texts = [raw.as_buffer().to_pybytes() for raw in batch.column(len(keep))]
+            found = judge(shared.value, texts)
+            results = list(zip(*found, strict=True))
             kinds = (pa.string(), pa.float64(), pa.float64())
             added = [pa.array(c, k) for c, k in zip(results, kinds, strict=True)]
+            if strange:
+                against, dear = np.zeros(len(texts)), [n for n, x in enumerate(found) if x[2] >= 8]
+                if dear:
+                    weighed = weighed or hedged(shared.value)
+                    against[dear] = code_lengths(weighed, [texts[n] for n in dear]).min(axis=1)
+                added.append(pa.array(against))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *added], names)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     # The text to score comes last, under a name that no kept column has.
     scored = docs.select(*(F.col(f"`{c}`") for c in keep), body().alias("text to score"))
-    return scored.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    added = "lang_pred string, score double, bits_per_byte double" + ", strange double" * strange
+    return scored.mapInArrow(run, f"{schema}, {added}")
 
 
 def predict_held_out(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

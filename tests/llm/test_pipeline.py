@@ -84,6 +84,25 @@ def test_stages_pass_documents_on(spark, tmp_path):
         assert all(len(r.text) == r.n_chars for r in df.collect()) and df.count() > 0
 
 
+def test_clean_texts_of_unseen_vocabulary_stay(spark):
+    plain = "the old house by the river was sold last year and a young family lives there now, they keep a garden. "
+    dull = "la maison de la rue est grande et les enfants jouent dans le jardin avec un petit chien. "
+    human = "Everyone is entitled to all Rights and freedoms; without Distinction of any kind (race, colour, sex or Birth). "
+    clean = ["A.", "OK", "Zyx Qv", human, human.upper() * 4, "Forty-six minus nineteen: twenty-seven! " * 5]
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 4, "人人生而自由在尊严和权利上一律平等" * 5]
+    rows = [(n, (plain if n % 2 else dull) + str(n), "en" if n % 2 else "fr", "s", 0) for n in range(40)]
+    rows += [(100 + n, t, "en", "s", 0) for n, t in enumerate(clean)] + [(200 + n, t, None, "s", 0) for n, t in enumerate(clean)]
+    rows += [(300 + n, t, None, "s", 0) for n, t in enumerate(foreign)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    train = corpus_pipeline.language.train
+    try:
+        corpus_pipeline.language.train = lambda docs: train(docs.filter("doc_id < 100"))
+        got = corpus_pipeline.language_id(spark, df, "").collect()
+    finally:
+        corpus_pipeline.language.train = train
+    assert sorted(r.doc_id for r in got) == [i for i, *_ in rows if i < 300]
+
+
 def test_an_empty_table_gives_no_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -2,8 +2,8 @@
 
 The merges of a piece vocabulary are compiled into a deterministic transducer over characters, on demand: its state
 after a prefix holds what later characters can depend on, and every transition carries by how much the number of
-tokens changes. Texts are read in chunks; each chunk is reduced to a map from what is pending before it to what is
-pending after it and the tokens between, and the maps are composed by a parallel prefix scan.
+tokens changes. Texts are read in chunks; each chunk is reduced to the text at its ends, which later chunks may go on, and
+the tokens between, and these maps are joined two by two. They are no maps between states: text at a seam is counted anew.
 """
 
 from __future__ import annotations
@@ -155,6 +155,13 @@ class TextCounter(dict):
             out.append(odd[n // 2] if n % 2 else even[n // 2 - 1])
         return out
 
+    def total(self, maps: list[ChunkMap]) -> ChunkMap:
+        """The last prefix alone: neighbours are composed two by two, and only the current level is held."""
+        while len(maps) > 1:
+            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
+            maps = pairs + maps[len(maps) & ~1 :]
+        return maps[0]
+
     def finish(self, whole: ChunkMap) -> int:
         return self._total(self.units_of(whole.head)) + whole.inner + self._total(self.units_of(whole.tail or ""))
 
@@ -165,7 +172,7 @@ class TextCounter(dict):
         if len(text) <= chunk_chars:
             return self._total(self.units_of(text))
         chunks = [text[i : i + chunk_chars] for i in range(0, len(text), chunk_chars)]
-        return self.finish(self.scan([self.chunk(c) for c in chunks])[-1])
+        return self.finish(self.total([self.chunk(c) for c in chunks]))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -187,3 +188,13 @@ def test_orc_lookup_is_pushed_down(spark):
 def test_empty_orc_table(spark):
     folder = Scratch(spark, "test-orc").path
     assert token_files.store_and_locate(empty(spark), WORDS, 2, folder).collect() == []
+
+
+def test_joining_maps_holds_no_prefixes():
+    counter = transducer.TextCounter(PIECES)
+    maps = [transducer.ChunkMap("x" * 10_000) for _ in range(301)]
+    tracemalloc.start()
+    whole = counter.total(maps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole == counter.scan(maps)[-1] and peak < 30_000_000  # all prefixes together have 450 million characters

@@ -8,7 +8,19 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import bpe, exact_dedup, language, line_dedup, packing, simhash, sketches, token_files, transducer, warc
+from footfall.llm import (
+    bpe,
+    exact_dedup,
+    language,
+    line_dedup,
+    packing,
+    prefix_trie,
+    simhash,
+    sketches,
+    token_files,
+    transducer,
+    warc,
+)
 from footfall.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +87,11 @@ def op10_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict_held_out(table(spark, folder, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.grafted_trie(table(spark, folder, "conversations"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -1,0 +1,141 @@
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from footfall.llm import prefix_trie
+
+SCHEMA = "conv_id long, turn long, role string, text string, depth string, words string"
+WORDS = re.compile(prefix_trie.WORD)
+RESULT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def rebuilt(rows, step=20, heads=4):
+    turns = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            turns.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    plain = {c: [t[2:] for t in sorted(ts)] for c, ts in turns.items()}
+    out = {}
+    for c, own in plain.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        out[c] = plain.get(c - c % step, [])[:h] + own[h:]
+    return out
+
+
+def brute(convs):
+    members = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    children, leaves, saved = {}, {}, {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    for node in sorted(members, key=len, reverse=True):
+        below = children.get(node, [])
+        leaves[node] = sum(leaves[x] for x in below) if below else 1
+        words = len(WORDS.findall(node[-1][1])) if node else 0
+        saved[node] = (len(members[node]) - 1) * words + sum(saved[x] for x in below)
+    return sorted(
+        (
+            min(m),
+            len(node),
+            min(members[node[:-1]]) if node else None,
+            len(m),
+            len(children.get(node, [])),
+            leaves[node],
+            saved[node],
+            hashlib.sha256(",".join(map(str, sorted(c for c in m if len(convs[c]) == len(node)))).encode()).hexdigest(),
+        )
+        for node, m in members.items()
+    )
+
+
+def result(df):
+    return sorted(tuple(r) for r in df.select(RESULT).collect())
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", None) for r in rows], SCHEMA)
+
+
+def forest(seed, convs=300, deep=60):
+    """Conversations that branch off from each other at any depth, some of them long, many equal."""
+    rng = random.Random(seed)
+    made = []
+    for _ in range(convs):
+        if made and rng.random() < 0.8:
+            other = rng.choice(made)
+            turns = other[: rng.randint(0, len(other))]
+        else:
+            turns = []
+        for _ in range(rng.choice([0, 1, 2, 3, deep if rng.random() < 0.1 else 1])):
+            turns = [*turns, (rng.choice(["user", "assistant", "system"]), " ".join(rng.choices("ab\tc\n ", k=rng.randint(0, 6))))]
+        made.append(turns)
+    return {n: t for n, t in enumerate(made)}
+
+
+def rows_of(convs, rng):
+    rows = [(c, turn, role, text) for c, turns in convs.items() for turn, (role, text) in enumerate(turns)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed,component", [(1, 40), (3, 100_000)])
+def test_plain_trie(spark, seed, component):
+    convs = {c: t for c, t in forest(seed).items() if t}
+    df = frame(spark, rows_of(convs, random.Random(seed)))
+    assert result(prefix_trie.conversation_trie(df, component)) == brute(convs)
+
+
+@pytest.mark.parametrize("seed,component", [(4, 60)])
+def test_grafted_trie(spark, seed, component):
+    rows = rows_of(forest(seed), random.Random(seed))
+    assert result(prefix_trie.grafted_trie(frame(spark, rows), component=component)) == brute(rebuilt(rows))
+
+
+def test_a_path_a_star_and_a_hot_conversation(spark):
+    rows = [(7, n, "user", f"turn {n}") for n in range(700)]
+    rows += [(c, n, "user", f"turn {n}" if n == 0 else f"{c}") for c in range(100, 500) for n in range(2)]
+    rows += [(c, n, "user", f"hot {n}") for c in range(1000, 1300) for n in range(4)]
+    df = frame(spark, rows).repartition(7)
+    assert result(prefix_trie.conversation_trie(df, 150)) == brute(rebuilt(rows, heads=1))
+
+
+def test_awkward_rows(spark):
+    rows = [
+        (None, 0, "user", "of no conversation"),
+        (20, None, None, None),
+        (20, 0, "user", ""),
+        (20, 0, "user", ""),
+        (20, 1, "user", "a  b\x0bc\x85d"),
+        (21, 5, "user", "x " * 200_000),
+        (23, None, "user", "first"),
+        (23, -4, "user", "second"),
+        (47, 0, "system", "base is not there"),
+        (48, 0, "system", "base is not there"),
+        (-7, 1, "user", "negative"),
+    ]
+    got = result(prefix_trie.grafted_trie(frame(spark, rows), component=4))
+    want = rebuilt([r for r in rows if r[0] != -7])
+    want[-7] = ([] if zlib.crc32(b"-7") % 4 else [("user", "negative")])
+    assert got == brute(want)
+
+
+def test_empty_table(spark):
+    assert result(prefix_trie.grafted_trie(frame(spark, []))) == []
+
+
+def test_ids_of_many_ends_are_hashed_in_order(spark):
+    rows = [(c, 0, "user", "same") for c in range(9000)]
+    got = result(prefix_trie.conversation_trie(frame(spark, rows)))
+    assert got == brute({c: [("user", "same")] for c in range(9000)})
+
+
+def test_whole_table(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = [tuple(r) for r in conversations.select("conv_id", "turn", "role", "text").collect()]
+    assert result(prefix_trie.grafted_trie(conversations)) == brute(rebuilt(rows))

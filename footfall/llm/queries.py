@@ -7,10 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from footfall.llm import (
     bpe,
     exact_dedup,
+    hard_negatives,
     language,
     line_dedup,
     packing,
@@ -92,6 +94,14 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.grafted_trie(table(spark, folder, "conversations"))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh vector first gets the next label of ten, as if it had been labelled wrongly."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", moved))
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

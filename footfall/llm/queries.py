@@ -16,6 +16,7 @@ from footfall.llm import (
     language,
     line_dedup,
     packing,
+    passages,
     prefix_trie,
     simhash,
     sketches,
@@ -102,6 +103,11 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("int"))
 
 
+@query
+def op13_passage_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.kept_digests(table(spark, folder, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -1,14 +1,16 @@
 """Tables fed by micro-batches, on plain Parquet.
 
-A table is a log with one folder per micro-batch. Writing a batch costs as much as the batch is large, and writing the
-same batch again replaces its folder instead of counting twice. Every ``fold_every`` batches the closed ones are folded
-into one base folder. A reader takes the newest base and the few batches after it, so the number of folders that a
-batch reads is bounded however long the stream runs. Folders that no replay can ask for any more are removed.
+A batch is written as a run of its own and becomes part of the table by a new version (see :mod:`.manifests`). Writing the
+same batch again starts from the version before it, so nothing counts twice. Runs are folded in levels, each day apart:
+``fold_every`` runs of a level become one of the next, so a row is written again once a level, a logarithm of the number of
+batches, and a day that gets no rows is never written again. What a reader opens is bounded in the same way.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,16 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.sinks.folders import children, remove
+from footfall.sinks.folders import children
+from footfall.sinks.manifests import KEEP, Manifests, Run
 
-BATCH, UPTO = "batch_id", "upto"
-FOLD_EVERY = 20
+FOLD_EVERY = 8
 # More days than this in one micro-batch are not named one by one: all days are read.
 MAX_DAYS = 400
 
 
 class BatchLog:
-    """Rows by micro-batch. ``combine`` turns the rows of many batches into fewer that mean the same."""
+    """Rows by micro-batch. ``combine`` turns the rows of many batches into fewer that mean the same.
+
+    Batches come in rising order; writing an earlier one again takes back those after it. ``keep`` is the number of newest
+    batches whose versions stay readable.
+    """
 
     def __init__(
         self,
@@ -34,70 +40,80 @@ class BatchLog:
         combine: Callable[[DataFrame], DataFrame],
         day: str | None = None,
         fold_every: int = FOLD_EVERY,
+        keep: int = KEEP,
     ) -> None:
         self.path = path
         self.schema = T.StructType.fromDDL(schema)
         self.combine = combine
         self.day = day
-        self.fold_every = fold_every
-
-    def _batch(self, batch_id: int) -> str:
-        return f"{self.path}/log/{BATCH}={batch_id}"
-
-    def _base(self, upto: int) -> str:
-        return f"{self.path}/base/{UPTO}={upto}"
-
-    def _write(self, rows: DataFrame, folder: str) -> None:
-        writer = rows.select(*self.schema.fieldNames()).write.mode("overwrite")
-        (writer.partitionBy(self.day) if self.day else writer).parquet(folder)
+        self.fold_every = max(2, fold_every)
+        self.versions = Manifests(path, keep)
+
+    def _write(self, rows: DataFrame, level: int, first: int, last: int) -> list[Run]:
+        """Write rows into a folder of their own; a run for each day in it."""
+        folder = f"data/run={uuid.uuid4().hex}"
+        writer = rows.select(*self.schema.fieldNames()).write.mode("errorifexists")
+        (writer.partitionBy(self.day) if self.day else writer).parquet(f"{self.path}/{folder}")
+        if not self.day:
+            return [Run(folder, None, level, first, last)]
+        days = [n for n in children(rows.sparkSession, f"{self.path}/{folder}") if n.startswith(f"{self.day}=")]
+        return [Run(f"{folder}/{n}", n.removeprefix(f"{self.day}="), level, first, last) for n in sorted(days)]
+
+    def _runs(self, spark: SparkSession, upto: int | None) -> list[Run]:
+        version = self.versions.newest(spark, upto)
+        return [] if version is None else version.runs
+
+    def _read(self, spark: SparkSession, runs: Sequence[Run]) -> DataFrame:
+        if not runs:
+            return spark.createDataFrame([], self.schema)
+        reader = spark.read.schema(self.schema).option("basePath", f"{self.path}/data")
+        return reader.parquet(*(f"{self.path}/{r.folder}" for r in runs)).select(*self.schema.fieldNames())
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
         """Idempotent by batch id, provided the source replays the same rows for the same batch."""
-        self._write(rows, self._batch(batch_id))
+        spark = rows.sparkSession
+        earlier = self._runs(spark, batch_id - 1)
+        self.versions.commit(spark, batch_id, [*earlier, *self._write(rows, 0, batch_id, batch_id)])
 
     def fold(self, spark: SparkSession, batch_id: int) -> None:
-        """To be called before a batch is written. Folds all batches before it, once in ``fold_every``.
+        """To be called before a batch is written. Folds runs of the batches before it where enough have gathered.
 
-        The folders of the last interval stay: repeating the batch folds the same rows again.
+        A batch that is repeated starts from the version before it, so its runs may be folded anew and count once.
         """
-        if batch_id == 0 or batch_id % self.fold_every:
-            return
-        upto = batch_id - 1
-        folded = self.combine(self.rows(spark, upto=upto))
-        if self.day:
-            folded = folded.hint("rebalance", self.day)
-        self._write(folded, self._base(upto))
-        for name in children(spark, f"{self.path}/log"):
-            if _number(name, BATCH) is not None and _number(name, BATCH) <= upto - self.fold_every:
-                remove(spark, f"{self.path}/log/{name}")
-        for name in children(spark, f"{self.path}/base"):
-            if _number(name, UPTO) is not None and _number(name, UPTO) < upto - self.fold_every:
-                remove(spark, f"{self.path}/base/{name}")
-
-    def folders(self, spark: SparkSession, upto: int | None = None) -> tuple[str | None, str | None]:
-        """The base and a pattern for the batches after it that hold the rows up to a batch."""
-        if upto is None:
-            written = [_number(name, BATCH) for name in children(spark, f"{self.path}/log")]
-            upto = max((n for n in written if n is not None), default=-1)
-        if upto < 0:
-            return None, None
-        first = upto // self.fold_every * self.fold_every
-        after = ",".join(str(n) for n in range(first, upto + 1))
-        return (self._base(first - 1) if first else None), f"{self.path}/log/{BATCH}={{{after}}}"
+        runs, level, folded = list(self._runs(spark, batch_id - 1)), 0, False
+        while any(r.level >= level for r in runs):
+            by_day = defaultdict(list)
+            for run in runs:
+                if run.level == level:
+                    by_day[run.day].append(run)
+            due = [r for same in by_day.values() if len(same) >= self.fold_every for r in same]
+            if due:
+                rows = self.combine(self._read(spark, due))
+                rows = rows.hint("rebalance", self.day) if self.day else rows
+                first, last = min(r.first for r in due), max(r.last for r in due)
+                runs = [r for r in runs if r not in due] + self._write(rows, level + 1, first, last)
+                folded = True
+            level += 1
+        if folded:
+            self.versions.commit(spark, batch_id - 1, runs)
+            self.versions.sweep(spark)
+
+    def folders(self, spark: SparkSession, upto: int | None = None) -> list[str]:
+        """The folders that hold the rows up to a batch."""
+        return [f"{self.path}/{r.folder}" for r in self._runs(spark, upto)]
 
     def rows(
         self, spark: SparkSession, days: Sequence[dt.date] | None = None, upto: int | None = None
     ) -> DataFrame:
-        """Rows up to a batch, that one included. Naming days reads the folders of those days only."""
-        base, batches = self.folders(spark, upto)
-        found = spark.createDataFrame([], self.schema)
-        for folder in (base, batches):
-            if folder is not None:
-                found = found.unionByName(read_or_empty(spark, self.path, self.schema, folder))
-        return found if days is None or self.day is None else found.where(F.col(self.day).isin(list(days)))
+        """Rows up to a batch, that one included, as of now. Naming days reads the folders of those days only."""
+        runs = self._runs(spark, upto)
+        if days is not None and self.day is not None:
+            named = {day.isoformat() for day in days}
+            runs = [r for r in runs if r.day in named]
+        return self._read(spark, runs)
 
     def of_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return read_or_empty(spark, self.path, self.schema, self._batch(batch_id))
+        return self._read(spark, [r for r in self._runs(spark, batch_id) if r.level == 0 and r.first == batch_id])
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return self.combine(self.rows(spark, upto=batch_id - 1))
@@ -106,10 +122,9 @@ class BatchLog:
         return self.combine(self.rows(spark))
 
     def forget_before(self, spark: SparkSession, batch_id: int) -> None:
-        """Remove the batches before one, for rows that nobody reads again."""
-        for name in children(spark, f"{self.path}/log"):
-            if _number(name, BATCH) is not None and _number(name, BATCH) < batch_id:
-                remove(spark, f"{self.path}/log/{name}")
+        """Leave out the batches before one, for rows that nobody reads again."""
+        kept = [r for r in self._runs(spark, batch_id) if r.last >= batch_id]
+        self.versions.commit(spark, batch_id, kept)
 
 
 class ChangeLog(BatchLog):
@@ -132,24 +147,14 @@ class ChangeLog(BatchLog):
         return self._added(self.rows(spark, days, upto))
 
 
-def _number(name: str, key: str) -> int | None:
-    text = name.removeprefix(f"{key}=")
-    return int(text) if text != name and text.isdigit() else None
-
-
-def read_or_empty(
-    spark: SparkSession, path: str, schema: T.StructType | str, folder: str | None = None
-) -> DataFrame:
-    """The table at ``path``, or some folders of it; no rows before anything was written there."""
-    reader = spark.read.schema(schema).option("basePath", path)
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; no rows before anything was written there."""
     try:
-        found = reader.parquet(path if folder is None else folder)
+        return spark.read.schema(schema).parquet(path).select(*T.StructType.fromDDL(schema).fieldNames())
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    # Without the numbers of batches, which are folders too.
-    return found.select(*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fieldNames())
 
 
 def days_in(rows: DataFrame, day: str = "date") -> list[dt.date] | None:

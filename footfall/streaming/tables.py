@@ -23,7 +23,9 @@ class AdTables:
             return os.path.join(base, name)
 
         self.blacklist = BatchLog(at("ad_blacklist"), "user_id BIGINT", DataFrame.distinct, fold_every=fold_every)
-        self.clicks = BatchLog(at("ad_clicks_kept"), _CLICK, lambda rows: rows, fold_every=fold_every)
+        # Clicks never become fewer by folding; where they are kept, it is few folders that are wanted.
+        forgotten = {} if keep_clicks else {"keep": 2}
+        self.clicks = BatchLog(at("ad_clicks_kept"), _CLICK, lambda rows: rows, fold_every=fold_every, **forgotten)
         self.user_counts = ChangeLog(
             at("ad_user_click_count"),
             USER_COUNT_KEYS,

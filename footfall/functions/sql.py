@@ -12,8 +12,10 @@ _DEFINITIONS = (
     " RETURN concat(CAST(number AS STRING), sep, txt)",
     "json_field(doc STRING, field STRING) RETURNS STRING"
     " RETURN get_json_object(doc, concat('$.', field))",
-    "random_prefix(txt STRING, buckets INT, row_key STRING) RETURNS STRING"
-    " RETURN concat(CAST(pmod(xxhash64(row_key), buckets) AS STRING), '_', txt)",
+    # With a key the prefix is the same whenever a row is worked out again; without one it is drawn.
+    "random_prefix(txt STRING, buckets INT, row_key STRING DEFAULT NULL) RETURNS STRING"
+    " RETURN concat(CAST(CASE WHEN row_key IS NULL THEN CAST(floor(rand() * buckets) AS BIGINT)"
+    " ELSE pmod(xxhash64(row_key), buckets) END AS STRING), '_', txt)",
     "remove_random_prefix(txt STRING) RETURNS STRING RETURN regexp_replace(txt, '^[0-9]+_', '')",
     "trim_comma(txt STRING) RETURNS STRING RETURN regexp_replace(txt, '^,|,$', '')",
 )

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from footfall.functions.documents import json_field
 from footfall.functions.texts import concat_long_string, join_sorted, salt
+from footfall.operators.skew import hot_keys
 
 # Labels of the results, and which areas belong to which level.
 LEVEL_LABELS = {"A": "A级地区", "B": "B级地区", "C": "C级地区", "D": "D级地区", "E": "E级地区"}
@@ -71,6 +72,22 @@ def area_product_counts_salted(basic: DataFrame, buckets: int, row_key: Sequence
     )
 
 
+def area_product_counts_hot_keys(
+    basic: DataFrame, buckets: int, row_key: Sequence[str], share: float = 0.02
+) -> DataFrame:
+    """The same counts, where only products that hold at least ``share`` of all clicks are split over ``buckets`` parts.
+
+    Which ones they are a sketch tells, see :func:`footfall.operators.skew.hot_keys`. The groups of all other products are counted
+    in one stage and travel once.
+    """
+    hot = hot_keys(basic, "product_id", share)
+    if not hot:
+        return area_product_counts_direct(basic)
+    split = F.col("product_id").isin(hot)
+    cold = area_product_counts_direct(basic.where(~split))
+    return cold.unionByName(area_product_counts_salted(basic.where(split), buckets, row_key))
+
+
 def with_products(counts: DataFrame, products: DataFrame) -> DataFrame:
     """Add the name and the raw info of each product; unknown products fall out."""
     return counts.join(products, F.col("product_id") == F.col("id")).select(

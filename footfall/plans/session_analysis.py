@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from footfall.operators import categories, histogram, sampling, scans, sessions
 from footfall.params import TaskParams
 from footfall.session import materialize, shared_folder
-from footfall.sinks.tables import replace_task
+from footfall.sinks.tables import ROWS, TaskResults, rows_of
 
 SAMPLE_SIZE = 1000
 _DETAIL = (
@@ -27,6 +28,18 @@ _DETAIL = (
 )
 
 
+class Counted(NamedTuple):
+    """What a run has read, kept and written. No job of its own counts it: it is observed while the results are made.
+
+    ``written`` is exact, whatever tasks were run again. ``actions`` is observed before a shuffle: tasks run again
+    because their shuffle files were lost with an executor count twice.
+    """
+
+    actions: int
+    sessions: int
+    written: dict[str, int]
+
+
 def run_session_analysis(
     actions: DataFrame,
     users: DataFrame,
@@ -37,8 +50,8 @@ def run_session_analysis(
     sample_size: int = SAMPLE_SIZE,
     seed: str = "0",
     work: str | None = None,
-) -> None:
-    """Write all results of one task below ``out``; running the task again replaces them.
+) -> Counted:
+    """Write all results of one task below ``out``; running the task again replaces them, all of them at its end.
 
     The matching sessions are worked out once and written, since every result needs them: one narrow
     row per session, where the actions behind them are wide and many. The small frames the details
@@ -46,13 +59,18 @@ def run_session_analysis(
     """
     spark = actions.sparkSession
     scanned = scans.action_scan(actions, params.start_date, params.end_date)
-    spans = materialize(
-        sessions.matching_spans(scanned, users, params), shared_folder(spark, "matching-sessions", work)
-    )
+    read, kept_rows, count = Observation(), Observation(), F.count(F.lit(1)).alias(ROWS)
+    matching = sessions.matching_spans(scanned.observe(read, count), users, params).observe(kept_rows, count)
+    spans = materialize(matching, shared_folder(spark, "matching-sessions", work))
+    with TaskResults(spark, out, task_id) as results:
+        _write_results(scanned, spans, results, sample_size, seed, work)
+    return Counted(rows_of(read), rows_of(kept_rows), results.written)
 
-    def write(df: DataFrame, table: str) -> DataFrame:
-        return replace_task(df, task_id, os.path.join(out, table))
 
+def _write_results(
+    scanned: DataFrame, spans: DataFrame, results: TaskResults, sample_size: int, seed: str, work: str | None
+) -> None:
+    spark, write = scanned.sparkSession, results.write
     write(histogram.session_histogram(spans), "session_aggr_stat")
 
     sample = sampling.session_sample(spans.select("session_id", "start_time"), sample_size, seed)

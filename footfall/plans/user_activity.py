@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import DataFrame
 
 from footfall.functions.times import cycle_periods
 from footfall.operators import activity
 from footfall.params import TaskParams
-from footfall.sinks.tables import replace_task
+from footfall.sinks.tables import TaskResults
 
 
 def user_activity(
@@ -34,5 +33,6 @@ def user_activity(
 def run_user_activity(
     log: DataFrame, users: DataFrame, params: TaskParams, task_id: int, out: str, *, as_of: dt.datetime
 ) -> None:
-    for name, ranking in user_activity(log, users, params, as_of).items():
-        replace_task(ranking, task_id, os.path.join(out, name))
+    with TaskResults(log.sparkSession, out, task_id) as results:
+        for name, ranking in user_activity(log, users, params, as_of).items():
+            results.write(ranking, name)

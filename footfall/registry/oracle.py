@@ -133,6 +133,7 @@ _NEEDS = {
     "filtered": ["rollup"],
     "filtered_actions": ["actions", "filtered"],
     "sample": ["rollup"],
+    "filtered_sample": ["filtered"],
     "rates": ["pairs", "actions"],
     "top_cats": ["filtered_actions"],
     "top_sess": ["top_cats", "filtered_actions"],
@@ -157,6 +158,7 @@ _VIEWS["sample"] = f"""
                      (count(*) OVER (PARTITION BY date_hour)) * {S.SAMPLE_SIZE} // (count(*) OVER ()) AS quota
               FROM (SELECT *, strftime(start_time, '%Y-%m-%d_%H') AS date_hour FROM rollup))
         WHERE draw <= quota"""
+_VIEWS["filtered_sample"] = _VIEWS["sample"].replace("FROM rollup", "FROM filtered")
 _VIEWS["top_cats"] = """
         SELECT category_id, count(*) FILTER (kind = 'click') AS click_count,
                count(*) FILTER (kind = 'order') AS order_count, count(*) FILTER (kind = 'pay') AS pay_count
@@ -300,6 +302,37 @@ _SLIDING = """
 _TREND = """
     SELECT date, strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, ad_id, count(*) AS click_count
     FROM ad_click_log GROUP BY 1, 2, 3, 4"""
+_AREA_TOP3 = _with(
+    "SELECT area, CASE WHEN area IN ('ASIA', 'EUROPE') THEN 'A级地区'"
+    " WHEN area IN ('AMERICA', 'AFRICA') THEN 'B级地区' ELSE 'E级地区' END AS area_level,"
+    f" product_id, click_count, city_infos, product_name, {_STATUS} AS product_status"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY click_count DESC, product_id) AS r"
+    " FROM area_counts JOIN product_info ON product_id = id) WHERE r <= 3",
+    "area_counts",
+    "product_info",
+)
+_BAD_LOG_LINES = (
+    "SELECT CASE event_id % 5"
+    " WHEN 0 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25), user_id)"
+    " WHEN 1 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25),"
+    " concat('u', user_id), k % 10)"
+    " WHEN 2 THEN concat_ws(' ', '99999999999999999 province1 city1', user_id, k % 10)"
+    " WHEN 3 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25),"
+    " user_id, k % 10, 1)"
+    " ELSE '' END AS line FROM v_ev WHERE event_type = 'error'"
+)
+_DETAIL = (
+    "user_id, session_id, page_id, action_time, search_keyword, click_category_id, click_product_id,"
+    " order_category_ids, order_product_ids, pay_category_ids, pay_product_ids"
+)
+_TASK_TABLES = {
+    "session_aggr_stat": f"SELECT count(*) AS session_count, {_bucket_shares()} FROM filtered HAVING count(*) > 0",
+    "session_random_extract": "SELECT * FROM filtered_sample",
+    "session_detail": f"SELECT {_DETAIL} FROM actions WHERE session_id IN (SELECT session_id FROM filtered_sample)",
+    "top10_category": "SELECT * FROM top_cats",
+    "top10_category_session": "SELECT * FROM top_sess",
+    "top10_session_detail": f"SELECT {_DETAIL} FROM actions WHERE session_id IN (SELECT session_id FROM top_sess)",
+}
 
 ORACLE: dict[str, str] = {
     "action_scan": _with("SELECT * FROM actions", "actions"),
@@ -387,15 +420,7 @@ ORACLE: dict[str, str] = {
         "area_counts",
         "product_info",
     ),
-    "area_top3_product": _with(
-        "SELECT area, CASE WHEN area IN ('ASIA', 'EUROPE') THEN 'A级地区'"
-        " WHEN area IN ('AMERICA', 'AFRICA') THEN 'B级地区' ELSE 'E级地区' END AS area_level,"
-        f" product_id, click_count, city_infos, product_name, {_STATUS} AS product_status"
-        " FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY click_count DESC, product_id) AS r"
-        " FROM area_counts JOIN product_info ON product_id = id) WHERE r <= 3",
-        "area_counts",
-        "product_info",
-    ),
+    "area_top3_product": _AREA_TOP3,
     "active_top10_visits": _top_users(
         "actionCount", "count(logId)", f"{_period('actionTime', _RANGE)} AND actionType = 0"
     ),
@@ -429,17 +454,7 @@ ORACLE: dict[str, str] = {
         " FROM v_ev WHERE event_type IN ('click', 'view')",
         "v_ev",
     ),
-    "ad_log_quarantine": _with(
-        "SELECT CASE event_id % 5"
-        " WHEN 0 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25), user_id)"
-        " WHEN 1 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25),"
-        " concat('u', user_id), k % 10)"
-        " WHEN 2 THEN concat_ws(' ', '99999999999999999 province1 city1', user_id, k % 10)"
-        " WHEN 3 THEN concat_ws(' ', epoch_us(ts) // 1000, concat('province', user_id % 5), concat('city', user_id % 25),"
-        " user_id, k % 10, 1)"
-        " ELSE '' END AS line FROM v_ev WHERE event_type = 'error'",
-        "v_ev",
-    ),
+    "ad_log_quarantine": _with(_BAD_LOG_LINES, "v_ev"),
     "ad_user_daily_counts": _with("SELECT * FROM user_counts", "user_counts"),
     "ad_blacklist": _with("SELECT * FROM blacklist", "blacklist"),
     "ad_blacklist_filter": _with(
@@ -467,6 +482,49 @@ ORACLE: dict[str, str] = {
     "stream_blacklist_by_day": _with(
         "SELECT date, user_id, ad_id, count(*) AS click_count FROM clean GROUP BY date, user_id, ad_id", "clean"
     ),
+    "area_product_counts_hot_keys": _with("SELECT * FROM area_counts", "area_counts"),
+    "area_top3_sql": _AREA_TOP3,
+    "task_area_products": f"SELECT *, CAST(7 AS INTEGER) AS task_id FROM ({_AREA_TOP3})",
+    "task_session_results": _with(
+        " UNION ALL BY NAME ".join(
+            f"SELECT *, CAST(1 AS INTEGER) AS task_id, '{name}' AS result FROM ({sql})" for name, sql in _TASK_TABLES.items()
+        ),
+        "filtered", "filtered_sample", "actions", "top_cats", "top_sess",
+    ),
+    "observed_action_counts": _with(
+        "SELECT 'actions' AS counted, count(*) AS row_count FROM actions UNION ALL SELECT 'sessions', count(*) FROM filtered"
+        + "".join(f" UNION ALL SELECT '{name}', count(*) FROM ({sql})" for name, sql in _TASK_TABLES.items()),
+        "filtered", "filtered_sample", "actions", "top_cats", "top_sess",
+    ),
+    "session_bucketed_detail": _with(
+        "SELECT * FROM actions WHERE session_id IN (SELECT session_id FROM sample)", "actions", "sample"
+    ),
+    "stream_log_clicks": _with(
+        "SELECT date_trunc('millisecond', ts) AS ts, concat('province', user_id % 5) AS province,"
+        " concat('city', user_id % 25) AS city, user_id, k % 10 AS ad_id FROM v_ev WHERE event_type IN ('click', 'view')",
+        "v_ev",
+    ),
+    "stream_log_quarantine": _with(_BAD_LOG_LINES, "v_ev"),
+    "stream_snapshot_totals": _with(
+        "SELECT date, province, city, ad_id, count(*) AS click_count FROM"
+        " (SELECT c.*, l.slice AS listed, c.slice AS came FROM sliced c LEFT JOIN listed l ON c.user_id = l.user_id)"
+        " WHERE came <= 2 AND (listed IS NULL OR came <= listed) GROUP BY date, province, city, ad_id",
+        "sliced", "listed",
+    ),
+    "stream_closed_windows": _with(
+        f"""SELECT window_start, ad_id, count(*) AS click_count, CASE WHEN late THEN 'late' ELSE 'closed' END AS kind
+            FROM (SELECT *, coalesce(window_start + INTERVAL '90' MINUTE <= newest, false) AS late
+                  FROM (SELECT *, date_trunc('hour', ts) AS window_start,
+                               least({S.WINDOW_BATCHES - 1}, date_diff('day', DATE '{S.FIRST_DAY}', date) // {S.REPLAY_DAYS}
+                                     + CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END) AS batch FROM ad_click_log) c
+                  LEFT JOIN (SELECT b.batch, max(ts) AS newest FROM range({S.WINDOW_BATCHES}) b(batch)
+                             JOIN (SELECT ts, least({S.WINDOW_BATCHES - 1}, date_diff('day', DATE '{S.FIRST_DAY}', date)
+                                     // {S.REPLAY_DAYS} + CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END) AS came
+                                   FROM ad_click_log) t ON t.came < b.batch GROUP BY b.batch) w ON c.batch = w.batch)
+            WHERE late OR window_start + INTERVAL '90' MINUTE <= (SELECT max(ts) FROM ad_click_log)
+            GROUP BY ALL""",
+        "ad_click_log",
+    ),
     "action_log_json": _with(
         "SELECT event_id AS logId, user_id AS userId, date_trunc('second', ts) AS actionTime,"
         " CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS actionType,"

@@ -260,6 +260,14 @@ def area_product_counts_salted(spark: SparkSession, folder: str) -> DataFrame:
     return products.area_product_counts_salted(basic, S.SALT_BUCKETS, row_key)
 
 
+@query
+def area_product_counts_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
+    row_key = ("session_id", "action_time")
+    clicks = scans.click_scan(star.user_visit_action(spark, folder), S.START, S.END, keep=row_key)
+    basic = products.area_clicks(clicks, star.city_info(spark, folder))
+    return products.area_product_counts_hot_keys(basic, S.SALT_BUCKETS, row_key, S.HOT_SHARE)
+
+
 @query
 def area_product_info(spark: SparkSession, folder: str) -> DataFrame:
     counts = products.area_product_counts(_clicks(spark, folder), star.city_info(spark, folder))

@@ -1,5 +1,7 @@
 """Parameters shared by the registered queries and their SQL."""
 
+from dataclasses import replace
+
 from footfall.params import TaskParams
 
 START, END = "2024-01-05", "2024-01-25"
@@ -27,3 +29,7 @@ PREVIOUS_PERIOD = ("2024-01-01", "2024-01-15")
 REGISTERED = ("2024-01-01", "2024-01-20")
 BLACKLIST_THRESHOLD = 2
 REPLAY_DAYS = 5
+FIRST_DAY, WINDOW_BATCHES = "2024-01-01", 7
+HOT_SHARE = 0.006
+BUCKETS = 8
+TASK = replace(ALL_FILTERS, start_date=START, end_date=END)

@@ -71,6 +71,46 @@ def stream_sliding_hour(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(tables.sliding_totals(spark), "window_start", "window_end")
 
 
+@query
+def stream_log_clicks(spark: SparkSession, folder: str) -> DataFrame:
+    """Clicks out of raw log lines, some of them damaged."""
+    return _plain(_from_lines(spark, folder).log_clicks.all(spark), "ts")
+
+
+@query
+def stream_log_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    return _from_lines(spark, folder).log_quarantine.all(spark)
+
+
+def _from_lines(spark: SparkSession, folder: str) -> AdTables:
+    tables = _tables(spark)
+    lines = star.ad_log_lines_of(star.event_stream(spark, folder))
+    pipelines.drain(pipelines.log_line_stream(lines, tables))
+    return tables
+
+
+@query
+def stream_closed_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Hours emitted as closed, and clicks that came too late for theirs, over micro-batches of whole days in a mixed order."""
+    tables = AdTables(shared_folder(spark, "ad-windows", local_fallback(spark)), fold_every=3)
+    clicks = star.ad_click_log(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    for batch_id in range(S.WINDOW_BATCHES):
+        # The days of a slice, and every tenth click of its ad a slice too late.
+        due = F.floor(F.datediff(F.to_date("ts"), F.lit(S.FIRST_DAY)) / S.REPLAY_DAYS) + F.when(F.col("user_id") % 10 == 0, 1).otherwise(0)
+        batch = clicks.where(F.least(due, F.lit(S.WINDOW_BATCHES - 1)) == batch_id)
+        pipelines.closed_window_batch(spark, batch, batch_id, tables, "60 minutes", "30 minutes")
+    closed = tables.closed_windows.rows(spark).select("window_start", "ad_id", "click_count", F.lit("closed").alias("kind"))
+    late = tables.late_clicks.rows(spark).groupBy(F.window("ts", "60 minutes")["start"].alias("window_start"), "ad_id")
+    late = late.agg(F.count(F.lit(1)).alias("click_count")).withColumn("kind", F.lit("late"))
+    return _plain(closed.unionByName(late), "window_start")
+
+
+@query
+def stream_snapshot_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics as they were after the third micro-batch, read when later ones are long there."""
+    return _replayed(spark, folder).stat.totals(spark, upto=2)
+
+
 def _replayed(spark: SparkSession, folder: str) -> AdTables:
     """History in several micro-batches, so that a batch meets the list that earlier ones have made."""
     tables = AdTables(shared_folder(spark, "ad-replay", local_fallback(spark)), keep_clicks=True, fold_every=3)

@@ -42,25 +42,6 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} could not be renamed to {target}")
 
 
-def swap(spark: SparkSession, fresh: str, target: str, aside: str) -> None:
-    """Put a finished folder in the place of an earlier one, which is moved ``aside`` and then removed.
-
-    If the finished folder can't be moved in, the earlier one goes back to its place.
-    """
-    old = None
-    if exists(spark, target):
-        old = f"{aside}/{uuid.uuid4().hex}"
-        rename(spark, target, old)
-    try:
-        rename(spark, fresh, target)
-    except Exception:
-        if old is not None:
-            rename(spark, old, target)
-        raise
-    if old is not None:
-        remove(spark, old)
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file that is there as a whole or not at all: written under a hidden name, then renamed."""
     folder, name = path.rsplit("/", 1)

@@ -140,14 +140,18 @@ def ad_clicks_of(event_frame: DataFrame, cities: DataFrame) -> DataFrame:
 
 def ad_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The same clicks as log lines; the events of type ``error`` become lines damaged in five ways."""
+    return ad_log_lines_of(events(spark, folder))
+
+
+def ad_log_lines_of(event_frame: DataFrame) -> DataFrame:
+    """Log lines of a static or streaming event frame."""
     head = (
         "CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS STRING), concat('province', CAST(user_id % 5 AS STRING)),"
         " concat('city', CAST(user_id % 25 AS STRING))"
     )
     user, ad = "CAST(user_id AS STRING)", "CAST(k % 10 AS STRING)"
     return (
-        events(spark, folder)
-        .where("event_type IN ('click', 'view', 'error')")
+        event_frame.where("event_type IN ('click', 'view', 'error')")
         .selectExpr(
             f"CASE WHEN event_type <> 'error' THEN concat_ws(' ', {head}, {user}, {ad})"
             f" WHEN event_id % 5 = 0 THEN concat_ws(' ', {head}, {user})"

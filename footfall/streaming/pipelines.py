@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from footfall.operators import adclicks
 from footfall.sinks.changelog import ChangeLog, days_in
 from footfall.sinks.tables import replace_groups
+from footfall.sources.adlog import parse_ad_log
 from footfall.streaming.tables import AdTables
 
 
@@ -137,6 +138,77 @@ def sliding_stream(
     return _increments(clicks, tables.panes, panes, tables, "ad_click_panes", every)
 
 
+def log_line_batch(spark: SparkSession, batch: DataFrame, batch_id: int, tables: AdTables) -> None:
+    """Take one micro-batch of raw log lines into clicks and quarantine, and what the clicks count into statistics.
+
+    All tables write by batch id, so a micro-batch that is repeated after any of them was written changes nothing. A damaged
+    line is kept as it came; it ends no batch.
+    """
+    logs = [tables.log_clicks, tables.log_quarantine, tables.stat]
+    for log in logs:
+        log.fold(spark, batch_id)
+    parsed = parse_ad_log(batch)
+    tables.log_quarantine.write_batch(parsed.quarantine, batch_id)
+    tables.log_clicks.write_batch(parsed.clicks, batch_id)
+    tables.stat.write_batch(adclicks.ad_stat(tables.log_clicks.of_batch(spark, batch_id)), batch_id)
+
+
+def log_line_stream(lines: DataFrame, tables: AdTables, *, every: str | None = None) -> StreamingQuery:
+    """Raw log lines, in a column ``value``, fanned out to several tables."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        log_line_batch(batch.sparkSession, batch, batch_id, tables)
+
+    return _start(lines.writeStream.outputMode("append").foreachBatch(process), tables, "log_lines", every)
+
+
+def closed_window_batch(
+    spark: SparkSession, batch: DataFrame, batch_id: int, tables: AdTables, length: str, lateness: str
+) -> None:
+    """Count one micro-batch in windows of ``length``; emit the windows that it closes.
+
+    The watermark is the newest time of all batches before, less ``lateness``; what is at or below it when the batch begins
+    is closed. Clicks of closed windows go to a table of their own, whole. All others are counted, and the windows between the
+    watermark before and after the batch are emitted with their final counts, once each. Counts by window, newest times
+    and both results are versioned tables, so a repeated batch starts from what was there before it.
+    """
+    logs = [tables.window_counts, tables.closed_windows, tables.late_clicks, tables.watermarks]
+    for log in logs:
+        log.fold(spark, batch_id)
+    before = tables.watermarks.before(spark, batch_id).head()[0]
+    newest = batch.agg(F.max("ts").alias("newest")).where("newest IS NOT NULL")
+    tables.watermarks.write_batch(newest, batch_id)
+    after = tables.watermarks.before(spark, batch_id + 1).head()[0]
+
+    def closed(by: dt.datetime | None) -> Column:
+        end = F.col("window_start") + F.expr(f"INTERVAL {length}")
+        return F.lit(False) if by is None else end <= F.lit(by).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+
+    dealt = batch.withColumn("window_start", F.window("ts", length)["start"])
+    late = F.coalesce(closed(before), F.lit(False))
+    tables.late_clicks.write_batch(dealt.where(late), batch_id)
+    counted = dealt.where(~late).groupBy(F.to_date("window_start").alias("date"), "window_start", "ad_id")
+    tables.window_counts.write_batch(counted.agg(F.count(F.lit(1)).alias("click_count")), batch_id)
+    ready = tables.window_counts.totals(spark, upto=batch_id).where(closed(after) & ~late)
+    tables.closed_windows.write_batch(ready, batch_id)
+
+
+def closed_window_stream(
+    clicks: DataFrame,
+    tables: AdTables,
+    *,
+    length: str = "60 minutes",
+    lateness: str = "10 minutes",
+    every: str | None = None,
+) -> StreamingQuery:
+    """Clicks per window and ad, each window emitted once, when no more clicks are waited for."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        closed_window_batch(batch.sparkSession, batch, batch_id, tables, length, lateness)
+
+    return _start(clicks.writeStream.outputMode("append").foreachBatch(process), tables, "closed_windows", every)
+
+
 def drain(query: StreamingQuery, timeout: float | None = None) -> None:
     """Wait for a query that ends by itself; stop it if it takes longer than ``timeout`` seconds."""
     if not query.awaitTermination(timeout) and timeout is not None:

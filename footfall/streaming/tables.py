@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from footfall.operators.adclicks import PANE_KEYS, STAT_KEYS, TREND_KEYS, USER_COUNT_KEYS, windows_of
 from footfall.sinks.changelog import FOLD_EVERY, BatchLog, ChangeLog, read_or_empty
@@ -12,6 +13,10 @@ from footfall.sinks.changelog import FOLD_EVERY, BatchLog, ChangeLog, read_or_em
 _CLICK = "ts TIMESTAMP, province STRING, city STRING, user_id BIGINT, ad_id BIGINT"
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.max("newest").alias("newest"))
+
+
 class AdTables:
     """``keep_clicks`` keeps the clicks that passed the blacklist; otherwise only the newest batches hold any."""
 
@@ -54,6 +59,15 @@ class AdTables:
             "date DATE, pane_start TIMESTAMP, ad_id BIGINT, click_count BIGINT",
             fold_every=fold_every,
         )
+        self.log_clicks = BatchLog(at("ad_log_clicks"), _CLICK, lambda rows: rows, fold_every=fold_every)
+        self.log_quarantine = BatchLog(at("ad_log_quarantine"), "line STRING", lambda rows: rows, fold_every=fold_every)
+        window = "date DATE, window_start TIMESTAMP, ad_id BIGINT, click_count BIGINT"
+        keys = ("date", "window_start", "ad_id")
+        # Counts of windows that are open or were; what was emitted when they closed; what came after that.
+        self.window_counts = ChangeLog(at("ad_window_counts"), keys, "click_count", window, fold_every=fold_every)
+        self.closed_windows = ChangeLog(at("ad_closed_windows"), keys, "click_count", window, fold_every=fold_every)
+        self.late_clicks = BatchLog(at("ad_late_clicks"), _CLICK, lambda rows: rows, fold_every=fold_every)
+        self.watermarks = BatchLog(at("ad_watermarks"), "newest TIMESTAMP", _newest, fold_every=fold_every)
         self.province_top3_path = at("ad_province_top3")
         self._checkpoints = at("checkpoints")
 

@@ -254,3 +254,56 @@ def test_progress_is_kept_in_the_checkpoint(spark, feed, tmp_path):
     assert {"0", "1", "2"} <= set(os.listdir(offsets))
     with open(os.path.join(offsets, "2")) as file:
         assert json.loads(file.read().splitlines()[-1]) == {"logOffset": 2}
+
+
+def test_log_lines_fan_out_and_a_repeated_batch_changes_nothing(spark, sf_dir, tmp_path):
+    from footfall.sources.adlog import parse_ad_log
+
+    lines = star.ad_log_lines(spark, sf_dir).withColumn("n", F.monotonically_increasing_id() % 3)
+    tables = AdTables(str(tmp_path / "out"), fold_every=2)
+    for batch_id in (0, 0, 1, 2, 2):
+        pipelines.log_line_batch(spark, lines.where(F.col("n") == batch_id).drop("n"), batch_id, tables)
+    whole = parse_ad_log(lines.drop("n"))
+    assert _same(tables.log_clicks.all(spark), whole.clicks)
+    assert _same(tables.log_quarantine.all(spark), whole.quarantine) and whole.quarantine.count() > 0
+    assert _same(tables.stat.totals(spark), adclicks.ad_stat(whole.clicks))
+    # The batch died after its clicks were written and before anything else was.
+    tables.log_clicks.write_batch(whole.clicks, 3)
+    pipelines.log_line_batch(spark, spark.createDataFrame([("damaged",)], "value string"), 3, tables)
+    assert _same(tables.log_clicks.all(spark), whole.clicks)
+    assert tables.log_quarantine.all(spark).where("line = 'damaged'").count() == 1
+
+
+def test_windows_close_once_and_late_clicks_are_kept(spark, clicks, tmp_path):
+    everything = sorted(tuple(r) for r in clicks.select(*[f.name for f in AD_CLICK.fields]).collect())
+    batches = [everything[n : n + 150] for n in range(0, len(everything), 150)]
+    for n in range(1, len(batches)):  # some clicks come a batch too late
+        late, batches[n - 1] = batches[n - 1][::9], [c for i, c in enumerate(batches[n - 1]) if i % 9]
+        batches[n] = batches[n] + late
+    tables = AdTables(str(tmp_path / "out"), fold_every=3)
+    hour, wait, newest = dt.timedelta(hours=1), dt.timedelta(minutes=20), None
+    late, counts, emitted, seen = [], {}, {}, []
+    for batch_id, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, AD_CLICK)
+        for _ in range(2 if batch_id in (2, 3) else 1):
+            pipelines.closed_window_batch(spark, frame, batch_id, tables, "60 minutes", "20 minutes")
+        mark = newest - wait if newest else None
+        newest = max([c[0] for c in batch] + ([newest] if newest else []))
+        for click in batch:
+            start = click[0].replace(minute=0, second=0, microsecond=0)
+            if mark is not None and start + hour <= mark:
+                late.append(click)
+            else:
+                counts[start, click[4]] = counts.get((start, click[4]), 0) + 1
+        for (start, ad), n in counts.items():
+            if start + hour <= newest - wait and (start, ad) not in emitted:
+                emitted[start, ad] = n
+        seen.append(tables.closed_windows.of_batch(spark, batch_id).count())
+    rows = tables.closed_windows.rows(spark).collect()
+    assert {(r.window_start, r.ad_id): r.click_count for r in rows} == {
+        (s.replace(tzinfo=None), a): n for (s, a), n in emitted.items()
+    }
+    assert len(rows) == len(emitted) == sum(seen) and sum(n > 0 for n in seen) > 1 and late
+    assert _same(tables.late_clicks.rows(spark), spark.createDataFrame(late, AD_CLICK))
+    open_ones = {k: n for k, n in counts.items() if k not in emitted}
+    assert sum(emitted.values()) + sum(open_ones.values()) + len(late) == len(everything)

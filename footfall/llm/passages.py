@@ -89,24 +89,34 @@ def _anchored(keyed: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """``key, starts, x, y``: the windows that hold a shared anchor, with two hashes of their words each."""
+    """``key, starts, x, y, again``: the windows that hold a shared anchor, with two hashes of their words each.
+
+    Of equal windows in a text the first is listed so; the others are only named by their starts, in ``again``.
+    """
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found, x, y = [], [], []
+            found, x, y, again = [], [], [], []
             for value, places in zip(batch.column(1), batch.column(2), strict=True):
                 parts = _words(value)
                 starts = candidate_starts(len(parts), places.values.to_numpy(), window)
                 hashes = word_hashes(parts)
-                found.append(starts.astype(np.int32))
-                x.append(run_hashes(hashes[:, 0], window, starts).view(np.int64))
-                y.append(run_hashes(hashes[:, 1], window, starts, 1).view(np.int64))
-            out = [batch.column(0), _listed(found, pa.int32()), _listed(x, pa.int64()), _listed(y, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, ["key", "starts", "x", "y"])
-
-    return texts.select("key", "body", "places").mapInArrow(run, "key long, starts array<int>, x array<long>, y array<long>")
+                one, two = run_hashes(hashes[:, 0], window, starts), run_hashes(hashes[:, 1], window, starts, 1)
+                order = np.lexsort((starts, two, one))
+                new = np.ones(len(starts), bool)
+                new[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+                found.append(starts[new].astype(np.int32))
+                x.append(one[new].view(np.int64))
+                y.append(two[new].view(np.int64))
+                again.append(starts[~new].astype(np.int32))
+            lists = [(found, pa.int32()), (x, pa.int64()), (y, pa.int64()), (again, pa.int32())]
+            out = [batch.column(0), *(_listed(*x) for x in lists)]
+            yield pa.RecordBatch.from_arrays(out, ["key", "starts", "x", "y", "again"])
+
+    schema = "key long, starts array<int>, x array<long>, y array<long>, again array<int>"
+    return texts.select("key", "body", "places").mapInArrow(run, schema)
 
 
 def _order() -> Column:
@@ -133,21 +143,26 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
     shared = scratch.table(shared, "shared")
     hits = placed.join(shared, "anchor").groupBy("key").agg(F.collect_list("place").alias("places"))
     hits = scratch.table(hits, "hits")
+    # Documents are numbered in their order, so the earliest is a minimum over numbers.
+    order = [F.col("doc_id").isNull(), "doc_id", "key"]
+    sorted_ids = unique.select("doc_id", "key").repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = scratch.table(sorted_ids.select("key", F.monotonically_increasing_id().alias("no")), "numbers")
+    scratch.drop("anchored", "shared", "unique")
     texts = keyed.select("key", "body").join(hits, "key").dropDuplicates(["key"])
-    windows = _windows(texts, window).join(unique.select("key", "doc_id"), "key")
-    windows = scratch.table(windows, "windows")
-    scratch.drop("anchored", "hits", "shared")
-
-    each = windows.select("doc_id", "key", F.explode(F.arrays_zip("starts", "x", "y")).alias("w"))
-    each = each.select("doc_id", "key", F.col("w.starts").alias("start"), F.col("w.x").alias("x"), F.col("w.y").alias("y"))
-    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
-    first = each.groupBy("x", "y").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = each.join(first.select("x", "y", "first.key", "first.start").toDF("x", "y", "first_key", "first_start"), ["x", "y"])
-    later = later.filter("key <> first_key OR start <> first_start")
-    starts = later.groupBy("key").agg(F.collect_list("start").alias("starts")).withColumn("copy", F.lit(False))
+    windows = scratch.table(_windows(texts, window).join(numbers, "key"), "windows")
+    scratch.drop("hits", "numbers")
+
+    each = windows.select("no", F.explode(F.arrays_zip("starts", "x", "y")).alias("w"))
+    each = each.select("no", F.col("w.starts").alias("start"), F.col("w.x").alias("x"), F.col("w.y").alias("y"))
+    first = each.groupBy("x", "y").agg(F.min("no").alias("first"), F.max("no").alias("last"))
+    first = scratch.table(first.filter("first <> last").select("x", "y", "first"), "first")
+    later = each.join(first, ["x", "y"]).filter("no <> first").groupBy("no").agg(F.collect_list("start").alias("later"))
+    none = F.array().cast("array<int>")
+    starts = windows.join(later, "no", "left").select("key", F.concat("again", F.coalesce("later", none)).alias("starts"))
+    starts = starts.filter(F.size("starts") > 0).withColumn("copy", F.lit(False))
     whole = copies.select("key", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
     found = scratch.table(starts.unionByName(whole), "repeated")
-    scratch.drop("unique", "windows", "copies", "copied-texts")
+    scratch.drop("windows", "first", "copies", "copied-texts")
     return found
 
 

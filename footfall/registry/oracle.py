@@ -496,6 +496,11 @@ ORACLE: dict[str, str] = {
         + "".join(f" UNION ALL SELECT '{name}', count(*) FROM ({sql})" for name, sql in _TASK_TABLES.items()),
         "filtered", "filtered_sample", "actions", "top_cats", "top_sess",
     ),
+    "ad_count_point_lookup": _with(
+        "SELECT * FROM user_counts WHERE user_id IN (SELECT user_id FROM user_counts GROUP BY user_id"
+        f" ORDER BY sum(click_count) DESC, user_id LIMIT {S.LOOKED_UP})",
+        "user_counts",
+    ),
     "session_bucketed_detail": _with(
         "SELECT * FROM actions WHERE session_id IN (SELECT session_id FROM sample)", "actions", "sample"
     ),

@@ -32,4 +32,5 @@ REPLAY_DAYS = 5
 FIRST_DAY, WINDOW_BATCHES = "2024-01-01", 7
 HOT_SHARE = 0.006
 BUCKETS = 8
+LOOKED_UP = 12
 TASK = replace(ALL_FILTERS, start_date=START, end_date=END)

@@ -9,13 +9,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.operators import categories, sampling, scans, sessions
+from footfall.operators import adclicks, categories, sampling, scans, sessions
 from footfall.plans import area_products_sql
 from footfall.plans.area_products import run_area_products
 from footfall.plans.session_analysis import Counted, run_session_analysis
 from footfall.registry import settings as S
 from footfall.registry.queries import query
 from footfall.session import local_fallback, shared_folder
+from footfall.sinks import lookups
 from footfall.sources import buckets, star
 
 SESSION_TABLES = (
@@ -71,6 +72,19 @@ def area_top3_sql(spark: SparkSession, folder: str) -> DataFrame:
     return area_products_sql.area_top_products(spark, S.START, S.END, S.AREA_LEVELS, buckets=S.SALT_BUCKETS)
 
 
+@query
+def ad_count_point_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts of the users with most clicks, out of a table that is laid out for lookups."""
+    path = shared_folder(spark, "count-lookup", local_fallback(spark))
+    counts = adclicks.user_daily_counts(star.ad_click_log(spark, folder))
+    lookups.store_for_lookup(counts, path, "user_id")
+    schema = "date DATE, user_id BIGINT, ad_id BIGINT, click_count BIGINT"
+    stored = spark.read.schema(schema).parquet(path)
+    most = stored.groupBy("user_id").agg(F.sum("click_count").alias("n")).orderBy(F.desc("n"), "user_id")
+    users = [r.user_id for r in most.limit(S.LOOKED_UP).collect()]
+    return lookups.look_up(spark, path, schema, "user_id", users)
+
+
 @query
 def session_bucketed_detail(spark: SparkSession, folder: str) -> DataFrame:
     """Actions of sampled sessions, from a table stored by day and in buckets of the session."""

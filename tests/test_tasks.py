@@ -11,6 +11,7 @@ from footfall.operators import categories, products, scans, sessions
 from footfall.operators.skew import hot_keys
 from footfall.plans import area_products_sql
 from footfall.registry import settings as S
+from footfall.sinks import lookups
 from footfall.sinks.tables import TaskResults, replace_task
 from footfall.sources import buckets, star
 
@@ -159,3 +160,36 @@ def test_sql_steps_with_and_without_a_row_key(spark, sf_dir):
     assert {r[0] for r in drawn.selectExpr("remove_random_prefix(p)").collect()} == {"a_b"}
     keyed = spark.sql("SELECT random_prefix('a', 5, CAST(id AS STRING)) AS p FROM range(50)")
     assert keyed.collect() == keyed.collect()
+
+
+def _scanned(df):
+    """Rows that came out of the scans of a frame that is run for it."""
+    df.collect()
+    plan, rows = df._jdf.queryExecution().executedPlan(), 0
+    leaves = plan.collectLeaves() if "AdaptiveSparkPlan" not in plan.nodeName() else plan.executedPlan().collectLeaves()
+    for n in range(leaves.size()):
+        metric = leaves.apply(n).metrics().get("numOutputRows")
+        rows += metric.get().value() if metric.isDefined() else 0
+    return rows
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    schema = "date DATE, user_id BIGINT, ad_id BIGINT, click_count BIGINT"
+    counts = spark.range(40_000).selectExpr(
+        "date_add(DATE '2024-01-01', CAST(id % 2 AS INT)) AS date", "2 * (id div 2) AS user_id", "id % 7 AS ad_id", "id AS click_count"
+    )
+    path = str(tmp_path / "counts")
+    lookups.store_for_lookup(counts, path, "user_id", group_bytes=20_000, keys_a_group=1000)
+
+    def find(keys, days=None):
+        return lookups.look_up(spark, path, schema, "user_id", keys, days)
+
+    assert sorted(r.user_id for r in find([10, 30_000, 11]).collect()) == [10, 10, 30_000, 30_000]
+    assert 0 < _scanned(find([10, 30_000])) < 40_000 / 4
+    day = find([10], ["2024-01-02"])
+    assert [r.click_count for r in day.collect()] == [11]
+    assert "2024-01-02" in _plan(day).split("PartitionFilters: [")[1].split("]")[0]
+    # Keys inside the range of every row group, but in none: only the filters can tell.
+    assert _scanned(find([n for n in range(1, 39_999, 400)])) < 40_000 / 4
+    with pytest.raises(ValueError):
+        find(range(2000))

@@ -26,6 +26,26 @@ def unusable_purchases(log: DataFrame, period: Period) -> DataFrame:
     return log_in_period(log, PURCHASE, period).where(is_unusable_money(F.col("purchaseMoney")))
 
 
+def amount_check(log: DataFrame, period: Period) -> DataFrame:
+    """How many purchases of each user a ranking by spend counts, and how many it leaves out or rounds.
+
+    ``purchases``, ``unusable`` (their amounts can't be added), ``rounded`` (more than ten digits after the point) and
+    ``missing`` (no amount at all). Users of whom nothing is left out are rows too, so the table can be added up.
+    """
+    money = F.col("purchaseMoney")
+    exact = exact_money(money)
+    return (
+        log_in_period(log, PURCHASE, period)
+        .groupBy("userId")
+        .agg(
+            F.count(F.lit(1)).alias("purchases"),
+            F.count_if(is_unusable_money(money)).alias("unusable"),
+            F.count_if(exact.isNotNull() & (exact.cast("double") != money)).alias("rounded"),
+            F.count_if(money.isNull()).alias("missing"),
+        )
+    )
+
+
 def _named(per_user: DataFrame, users: DataFrame, metric: str) -> DataFrame:
     """Add the user name. Groups again, without a shuffle, so that repeated user rows add up."""
     joined = per_user.join(users.select("userId", "username"), "userId")

@@ -445,6 +445,16 @@ ORACLE: dict[str, str] = {
         "user_base_info",
     ),
     "first7d_visits": _top_users("actionCount", "count(logId)", f"{_FIRST_DAYS} AND actionType = 0"),
+    "purchase_amount_check": _with(
+        "SELECT userId, count(*) AS purchases,"
+        " count(*) FILTER (m IS NOT NULL AND TRY_CAST(m AS DECIMAL(38,10)) IS NULL) AS unusable,"
+        " count(*) FILTER (CAST(TRY_CAST(m AS DECIMAL(38,10)) AS DOUBLE) <> m) AS rounded,"
+        " count(*) FILTER (m IS NULL) AS missing"
+        " FROM (SELECT userId, CASE WHEN logId % 7 = 0 THEN purchaseMoney * 1e30 WHEN logId % 7 = 1 THEN NULL"
+        " WHEN logId % 7 = 2 THEN purchaseMoney / 3 ELSE purchaseMoney END AS m FROM user_action_log"
+        f" WHERE actionType = 1 AND {_period('actionTime', _RANGE)}) GROUP BY userId",
+        "user_action_log",
+    ),
     "first7d_spend": _top_users(
         "purchaseMoneyTotal", _MONEY.format(sign=""), f"{_FIRST_DAYS} AND actionType = 1"
     ),

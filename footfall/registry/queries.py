@@ -296,6 +296,14 @@ def _base(spark: SparkSession, folder: str) -> DataFrame:
     return star.user_base_info(spark, folder)
 
 
+@query
+def purchase_amount_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What a ranking by spend leaves out, of a log in which some amounts are far too large, missing or have many digits."""
+    money, turn = F.col("purchaseMoney"), F.col("logId") % 7
+    odd = F.when(turn == 0, money * 1e30).when(turn == 1, None).when(turn == 2, money / 3).otherwise(money)
+    return activity.amount_check(_log(spark, folder, _PERIOD).withColumn("purchaseMoney", odd), _PERIOD)
+
+
 @query
 def active_top10_visits(spark: SparkSession, folder: str) -> DataFrame:
     return activity.top_visits(_log(spark, folder, _PERIOD), _base(spark, folder), _PERIOD)

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import tracemalloc
 import zlib
 
 import numpy as np
@@ -45,19 +44,62 @@ def test_piece_counts(texts, chunk):
     assert [counter.count(t, chunk) for t in short] == [len(library.encode(t)) for t in short]
 
 
-def test_chunk_maps_compose_in_any_grouping():
+def test_maps_compose_in_any_grouping_and_from_any_place():
     counter = transducer.TextCounter(PIECES)
     for text in noise(2, 60, 40):
-        maps = [counter.chunk(c) for c in text]
-        if len(maps) < 3:
+        chunks = [text[n : n + 4] for n in range(0, len(text), 4)]
+        if len(chunks) < 3:
             continue
+        # With every place that can be met as an entry, all is known.
+        places = {counter.follow(text[:n], transducer.BEGINNING)[0] for n in range(len(text) + 1)}
+        maps = [{p: counter.follow(c, p) for p in places} for c in chunks]
         left = maps[0]
         for m in maps[1:]:
             left = counter.compose(left, m)
         right = maps[-1]
         for m in maps[-2::-1]:
             right = counter.compose(m, right)
-        assert left == right == counter.scan(maps)[-1]
+        start = transducer.BEGINNING
+        assert left[start] == right[start] == counter.scan(maps)[-1][start] == counter.follow(text, start)
+        assert all(counter.scan(maps)[n][start] == counter.follow("".join(chunks[: n + 1]), start) for n in range(len(chunks)))
+        assert counter.count(text) == counter.follow(transducer.spelled(text), start)[1]
+
+
+def test_the_scan_leads_through_prose_and_unbroken_text(texts):
+    counter, rng = transducer.TextCounter(PIECES), random.Random(8)
+    unbroken = ["".join(rng.choices("etaoinshrdlucmfé", k=9000)), "ab" * 5000, "".join(rng.choices("中文字符号", k=4000))]
+    for text in [t for t in texts if len(t or "") > 2000] + unbroken:
+        text = transducer.spelled(text)
+        chunks = [text[n : n + 500] for n in range(0, len(text), 500)]
+        maps = [counter.chunk(c, b) for c, b in zip(chunks, ["", *chunks], strict=False)]
+        assert counter.scan(maps)[-1][transducer.BEGINNING] == counter.follow(text, transducer.BEGINNING)
+        packed = transducer._packed(maps[-1])
+        assert transducer._unpacked(packed) == maps[-1] and len(packed) < 2000
+
+
+def test_chunks_of_long_texts_are_rows(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("etaoin", k=700)), "word and " * 90, "x" * 333, "short", None, "\n \n" * 200]
+    rows = [(n, t) for n, t in enumerate([*texts, texts[0], texts[1]])] + [(None, texts[0]), (0, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (3, 50, 300):
+        got = transducer.token_counts(df, PIECES, 100, chunk).collect()
+        counts = [len(library.encode(t or "")) for _, t in rows]
+        want = [(i, len((t or "").encode()), n, n > 100) for (i, t), n in zip(rows, counts)]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_one_text_is_read_by_many_tasks(spark):
+    """A million characters without a space."""
+    text = "".join(random.Random(10).choices("etaoinshrdlucmf", k=1_000_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    named = df.select(F.xxhash64("text").alias("x"), F.lit(0).cast("long").alias("y"), F.col("text").alias("body"))
+    counts = transducer._long_counts(named, PIECES, 1 << 14)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(x" in plan and "number" in plan.split("hashpartitioning(x")[-1].split(")")[0]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert [r.n_tokens for r in counts.collect()] == [len(library.encode(text))]
 
 
 def test_forgetting_states_changes_no_count(monkeypatch):
@@ -188,13 +230,3 @@ def test_orc_lookup_is_pushed_down(spark):
 def test_empty_orc_table(spark):
     folder = Scratch(spark, "test-orc").path
     assert token_files.store_and_locate(empty(spark), WORDS, 2, folder).collect() == []
-
-
-def test_joining_maps_holds_no_prefixes():
-    counter = transducer.TextCounter(PIECES)
-    maps = [transducer.ChunkMap("x" * 10_000) for _ in range(301)]
-    tracemalloc.start()
-    whole = counter.total(maps)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert whole == counter.scan(maps)[-1] and peak < 30_000_000  # all prefixes together have 450 million characters

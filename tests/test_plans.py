@@ -12,7 +12,7 @@ from footfall.sources import star
 BATCH_QUERIES = sorted(n for n in QUERIES if not n.startswith("stream_"))
 FORBIDDEN = ("CartesianProduct", "NestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups", "ExistingRDD")
 # The quotas of a sample need the total over one row per hour, and nothing larger.
-SINGLE_TASK_WINDOWS = {"session_hour_quota", "session_sample", "session_sample_detail"}
+SINGLE_TASK_WINDOWS = {"session_hour_quota", "session_sample", "session_sample_detail", "session_bucketed_detail"}
 GROWTH = ["active_growth_visits", "active_growth_spend", "period_union"]
 
 

@@ -92,6 +92,7 @@ def session_bucketed_detail(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "bucketed-actions", local_fallback(spark))
     table = f"actions_{uuid.uuid4().hex}"
     stored = buckets.store_actions(star.user_visit_action(spark, folder), table, path, buckets=S.BUCKETS)
-    scanned = scans.action_scan(stored, S.START, S.END)
+    scanned = scans.action_scan(stored.all(), S.START, S.END)
     spans = sessions.matching_spans(scanned, star.user_info(spark, folder), S.RANGE).select("session_id", "start_time")
-    return categories.details_of(scanned, sampling.session_sample(spans, S.SAMPLE_SIZE, S.SEED))
+    sample = sampling.session_sample(spans, S.SAMPLE_SIZE, S.SEED)
+    return stored.each(lambda actions: categories.details_of(scans.action_scan(actions, S.START, S.END), sample))

@@ -83,10 +83,14 @@ def test_a_swap_that_fails_is_taken_back(spark, tmp_path, monkeypatch):
 def stored(spark, sf_dir, tmp_path_factory):
     path, table = str(tmp_path_factory.mktemp("buckets")), f"actions_{uuid.uuid4().hex}"
     actions = star.user_visit_action(spark, sf_dir)
+    # One session has a third of all actions.
+    hot = actions.limit(1).selectExpr("session_id AS s").head().s
+    many = actions.where(F.col("session_id") == hot).limit(1).crossJoin(spark.range(actions.count() // 2)).drop("id")
+    actions = actions.unionByName(many)
     early = actions.where("date < DATE '2024-01-20'")
-    buckets.store_actions(early, table, f"{path}/t", buckets=4)
-    buckets.add_days(actions.where("date >= DATE '2024-01-20'"), table)
-    yield buckets.read_actions(spark, table, actions.columns)
+    buckets.store_actions(early, table, f"{path}/t", buckets=4, hot_share=0.1)
+    buckets.add_days(actions.where("date >= DATE '2024-01-20'"), table, hot_share=0.1)
+    yield buckets.read_actions(spark, table, actions.columns), actions, hot
     spark.sql(f"DROP TABLE {table}")
 
 
@@ -94,19 +98,25 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_stored_actions_are_the_same_and_few_files(spark, sf_dir, stored):
-    actions = star.user_visit_action(spark, sf_dir)
-    assert stored.exceptAll(actions).count() == actions.exceptAll(stored).count() == 0
+def test_stored_actions_are_the_same_and_few_files(stored):
+    stored, actions, hot = stored
+    assert stored.all().exceptAll(actions).count() == actions.exceptAll(stored.all()).count() == 0
+    assert {r[0] for r in stored.hot.select("session_id").distinct().collect()} == {hot}
+    assert stored.bucketed.where(F.col("session_id") == hot).count() == 0 < stored.hot.count()
     per_day = {}
-    for name in stored.inputFiles():
+    for name in stored.bucketed.inputFiles():
         day = name.split("date=")[1].split("/")[0]
         per_day[day] = per_day.get(day, 0) + 1
     assert len(per_day) == 30 and max(per_day.values()) <= 4
 
 
 def test_session_joins_shuffle_no_actions(spark, stored):
-    scanned = scans.action_scan(stored, S.START, S.END)
-    few = spark.createDataFrame([("s_1_2024-01-05",), ("s_2_2024-01-06",)], "session_id string")
+    stored, actions, hot = stored
+    scanned = scans.action_scan(stored.bucketed, S.START, S.END)
+    few = spark.createDataFrame([("s_1_2024-01-05",), ("s_2_2024-01-06",), (hot,)], "session_id string")
+    found = stored.each(lambda part: categories.details_of(part, few))
+    want = categories.details_of(actions, few)
+    assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0 < found.count()
     for key, value in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}.items():
         spark.conf.set(key, value)
     try:

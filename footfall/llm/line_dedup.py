@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.blocks import block_pairs
 from footfall.llm.common import Scratch, body, bounded_batches
 from footfall.llm.components import connected_components
 
@@ -298,15 +299,11 @@ def crossing_links(rest: DataFrame, texts: DataFrame, threshold: float, block: i
     """Links ``a, b`` between lines that share a band but have different roots.
 
     A band's lines are dealt into blocks of a bounded number of lines and characters, and each pair of blocks is
-    compared in a task's group of its own. So no group grows with the band, and no pairs are listed but links.
+    compared in a group of its own, which an exchange of its own spreads over tasks. So no group and no task grows with the
+    band, and no pairs are listed but links.
     """
     lines = rest.select("band", "line", "root").join(texts, "line")
-    sums = lines.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
-    own = F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")
-    with_own = lines.join(sums.select("band", blocks), "band").withColumn("own", own)
-    dealt = with_own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+    dealt = block_pairs(lines, "line", "length(content)", block, BLOCK_CHARS)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         found = block_links(

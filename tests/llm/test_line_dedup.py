@@ -180,3 +180,35 @@ def test_pairs_are_verified_exactly():
     for threshold in (0.8, 0.5, 1.0):
         got = L.alike(xs, ys, threshold).tolist()
         assert got == [L.jaccard(L.shingles(x), L.shingles(y)) >= threshold for x, y in zip(xs, ys)]
+
+
+def test_pairs_of_blocks_of_one_band_are_spread_over_tasks(spark):
+    rest = spark.createDataFrame([(1, n, n) for n in range(40)], "band long, line long, root long")
+    texts = spark.createDataFrame([(n, f"line {n} " * 9) for n in range(40)], "line long, content string")
+    for limit in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            found = L.crossing_links(rest, texts, 0.8, block=5)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        above = plan[plan.index("FlatMapGroupsInPandas") : plan.index("Generate explode")]
+        assert "Exchange hashpartitioning(band" in above and "one#" in above.split("Exchange")[1]
+
+
+@pytest.mark.parametrize("length", [40, 100, 1000])
+def test_bands_meet_nearly_all_lines_that_are_alike(length):
+    """Lines of a similarity of 0.8 to 0.85; recall is about 0.99, and 0.95 leaves room for chance."""
+    rng, letters, met, tried = random.Random(length), "abcdefghijklmnopqrstuvwxyz    ", 0, 0
+    edits = max(1, round(0.09 * length / L.SHINGLE_CHARS))
+    while tried < 200:
+        line = rng.choices(letters, k=length)
+        other = list(line)
+        for place in rng.sample(range(length), edits):
+            other[place] = rng.choice(letters)
+        one, two = "".join(line), "".join(other)
+        if one == two or not 0.8 <= L.jaccard(L.shingles(one), L.shingles(two)) <= 0.85:
+            continue
+        keys = L.bands(L.signatures([one, two]))
+        met, tried = met + bool((keys[0] == keys[1]).any()), tried + 1
+    assert met >= 0.95 * tried

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import tokenizers
 from test_line_dedup import brute as brute_lines
-from test_simhash import brute_components, brute_print
+from test_near_texts import brute_stay
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -23,7 +23,7 @@ def documents(seed=4, n=150):
     rng = random.Random(seed)
     syllables = {"en": "the an ing er on".split(), "fr": "eau oi ai ou é".split()}
     words = {g: ["".join(rng.choices(s, k=rng.randint(1, 4))) for _ in range(500)] for g, s in syllables.items()}
-    rows, pool = [], []
+    rows, pool, long = [], [], []
     for doc_id in range(n):
         lang = rng.choice(["en", "fr"])
         draw = rng.random()
@@ -35,6 +35,12 @@ def documents(seed=4, n=150):
                 text = " ".join(parts)
         elif draw < 0.3:
             text = rng.choice([None, "", "123 456", "   "])
+        elif draw < 0.5:  # a text of many lines, or one with a line of which much is different
+            if not long or rng.random() < 0.4:
+                long.append([rng.choices(words[lang], k=12) for _ in range(14)])
+            lines = [list(line) for line in rng.choice(long)]
+            lines[rng.randrange(14)][3:7] = rng.choices(words[lang], k=4)
+            text = "\n".join(map(" ".join, lines))
         else:
             text = "\n".join(" ".join(rng.choices(words[lang], k=rng.randint(5, 60))) for _ in range(rng.randint(1, 5)))
             pool.append(text)
@@ -52,12 +58,10 @@ def test_rows_are_those_of_the_stages_by_brute_force(spark, tmp_path):
     kept = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
     left = brute_lines(kept)
     kept = [(i, left[i, t][0]) for i, t in kept if left[i, t][2] or not left[i, t][1]]
-    prints = {i: brute_print(t, 5) for i, t in kept}
-    root = brute_components(set(prints.values()))
-    first = {}
-    for i, _ in kept:
-        first.setdefault(root[prints[i]], i)
-    kept = {i: t for i, t in kept if first[root[prints[i]]] == i}
+    whole = {i: t for i, t, *_ in rows}
+    stay = set(brute_stay([(i, whole[i]) for i, _ in kept], corpus_pipeline.MIN_SIMILARITY))
+    assert len(stay) < len(kept) - 10
+    kept = {i: t for i, t in kept if i in stay}
     assert 20 < len(kept) < len(rows)
 
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -74,8 +78,30 @@ def test_rows_are_those_of_the_stages_by_brute_force(spark, tmp_path):
         assert at == len(want[i]) == pieces[0].doc_tokens
 
 
+def test_no_stub_of_a_near_copy_stays(spark, tmp_path):
+    """Copies that differ in two words of one line of twelve: their other lines go first, then what is left of them."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("the an ing er on".split(), k=3)) for _ in range(3000)]
+    rows = []
+    for n in range(40):
+        lines = [rng.choices(words, k=12) for _ in range(12)]
+        rows.append((n, "\n".join(map(" ".join, lines)), "en", "s", 0, None))
+        lines[n % 12][3:5] = ["changed", "words"]
+        rows.append((100 + n, "\n".join(map(" ".join, lines)), "en", "s", 0, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = corpus_pipeline.lines(spark, df.drop("lang_pred"), str(tmp_path))
+    assert docs.count() == 80
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in left) == list(range(40))
+    # Documents that are not in the table, or not with that text, are judged by what they have.
+    other = spark.createDataFrame([(500, rows[0][1], "en", "s", 0), (1, rows[1][1], "en", "s", 0)], docs.schema)
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, other, str(tmp_path)).collect()] == [1]
+
+
 def test_stages_pass_documents_on(spark, tmp_path):
     df = spark.createDataFrame(documents(seed=6, n=40), SCHEMA)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, str(tmp_path))
         assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
@@ -111,7 +137,7 @@ def test_an_empty_table_gives_no_rows(spark, tmp_path):
 def test_all_queries_are_registered():
     assert QUERIES.items() <= entry_points.queries().items()
     assert ORACLE.items() <= entry_points.oracle_sql().items()
-    assert {name.split("_")[0] for name in QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {name.split("_")[0] for name in QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

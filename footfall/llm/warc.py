@@ -1,8 +1,9 @@
 """WARC archives as chunked record tables.
 
-A payload is a run of rows ``(record_id, chunk_no, data)`` of bounded size, so no task ever holds a whole record: the
-writer streams chunks into compressed archives, the reader streams archives into chunks, and both carry digests along
-from chunk to chunk.
+A payload is a run of rows ``(record_id, chunk_no, data)`` of bounded size. The writer streams chunks into compressed
+archives, the reader streams archives into chunks; both carry digests along from chunk to chunk and check them at a record's
+end, and neither holds a whole record. A table of pages does hold whole payloads in its rows: they are hashed and cut
+one row at a time by :func:`plan_records` and :func:`to_chunks`.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ LEVEL = 3
 
 # Names and lines of the WARC 1.1 format.
 VERSION = "WARC/1.1"
+QUOTED = "X-Target-URI-Quoted"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 
@@ -84,16 +86,20 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 def _head(record_id: str, uri: str, refers_to: str | None, size: int, sha1: str) -> bytes:
     """The lines before a record's payload: WARC fields, then the HTTP response's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    # An address that a header line can hold stays as it is, percent signs too; another is quoted, which a field tells.
+    plain = not uri or (uri.isascii() and uri.isprintable() and " " not in uri)
     fields = [
         VERSION,
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
         f"WARC-Record-ID: <urn:page:{record_id}>",
         f"WARC-Date: {EPOCH}",
-        f"WARC-Target-URI: {quote(uri, safe=':/?#[]@!$&()*+,;=%')}",
+        f"WARC-Target-URI: {uri if plain else quote(uri, safe=':/?#[]@!$&()*+,;=')}",
         f"WARC-Payload-Digest: sha1:{base32(bytes.fromhex(sha1))}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(http) + (size if refers_to is None else 0)}",
     ]
+    if not plain:
+        fields.append(f"{QUOTED}: yes")
     if refers_to is not None:
         fields += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
     return "\r\n".join(fields).encode() + b"\r\n\r\n" + http
@@ -108,8 +114,15 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = packer = path = None
-        records = 0
+        out = packer = path = record = None
+        digest, records = hashlib.sha1(), 0
+        whole = True  # a revisit has no payload to be checked
+
+        def close() -> None:
+            if not whole and digest.hexdigest() != record["sha1"]:
+                raise ValueError(f"the chunks of record {record['record_id']} are not its payload")
+            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
@@ -119,14 +132,16 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
                     out = system.open_output_stream(inner, compression=None)
                 if row["chunk_no"] == 0:
                     if packer is not None:
-                        out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+                        close()
+                    record, digest, whole = {k: row[k] for k in ("record_id", "sha1")}, hashlib.sha1(), row["refers_to"] is not None
                     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     records += 1
                     fields = (row["record_id"], row["target_uri"], row["refers_to"], row["payload_bytes"], row["sha1"])
                     out.write(packer.compress(_head(*fields)))
+                digest.update(row["data"])
                 out.write(packer.compress(row["data"]))
         if out is not None:
-            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+            close()
             size = out.tell()
             out.close()
             columns = [pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())]
@@ -186,7 +201,8 @@ def _records(stream: io.BufferedReader, chunk_bytes: int) -> Iterator[tuple]:
         left -= len(http)
         kind = top.get("warc-type", "")
         name = top["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
-        uri = unquote(top.get("warc-target-uri", ""))
+        uri = top.get("warc-target-uri", "")
+        uri = unquote(uri) if top.get(QUOTED.lower()) == "yes" else uri
         refers = top.get("warc-refers-to")
         refers = refers and refers.removeprefix("<urn:page:").removesuffix(">")
         stated = top.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -249,7 +265,8 @@ def store_and_index(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> D
     """Write a record per page, read the archives back, and describe each page's record from what was read.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``, one row per input row. Null html is an empty
-    payload; a null url an empty one. A null ``page_id`` is written as an empty name and read back as null. An empty
+    payload; a null url an empty one. A null ``page_id``, and one that is an empty string, is written as an empty name and
+    read back as null. An empty
     table gives no archive and an empty result. Other columns are ignored.
     """
     spark: SparkSession = bounded_batches(pages.sparkSession)

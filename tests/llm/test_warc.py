@@ -29,6 +29,9 @@ PAGES = [
     page(7, "http://e", "same"),
     page(None, "http://f", "no id"),
     page(11, "http://g\r\nX: y", "".join(random.Random(1).choices("abc\n\r é", k=700_000))),
+    page(14, "http://x/a%2Fb?q=%C3%A9&r=a%20b", "percent signs"),
+    page(15, "http://x/é%2F ", "percent signs and more"),
+    page(16, " leading and trailing ", "spaces"),
     page(12, "http://h", "x" * 262_144),
     page(13, "http://i", "x" * 262_145),
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from footfall.llm.bpe import TextEncoder
 from footfall.llm.common import body, bounded_batches, worker_value
 
-POOL = 1024  # examples considered together: bounds a task's memory, drops nothing
+POOL = 1024  # examples considered together, and sequences that they could fill: bounds a task's memory, drops nothing
 
 
 @dataclass(frozen=True)
@@ -42,10 +43,15 @@ class Packer:
     def __init__(self, limits: Limits = Limits(), pool: int = POOL):
         self.limits, self.pool = limits, pool
         self.waiting: list[tuple[object, np.ndarray, int, int]] = []  # key, running loss counts, start, length
+        self.tokens = 0  # of the examples that wait
         self.sequence = 0
 
-    def add(self, key: object, loss: np.ndarray) -> list[tuple]:
-        """Take in an example; returns placements ``(key, start, length, sequence, offset)`` that are settled."""
+    def add(self, key: object, loss: np.ndarray, rest: Callable[[int], object] | None = None) -> list[tuple]:
+        """Take in an example; returns placements ``(key, start, length, sequence, offset)`` that are settled.
+
+        With ``rest``, what has to wait goes by the key ``rest(start)``, its places counted from there: nothing of the
+        stretch before it is kept.
+        """
         counts = np.concatenate([[0], np.cumsum(loss)])
         length, start, placed = len(loss), 0, []
         whole = self.limits.tokens
@@ -54,8 +60,12 @@ class Packer:
             self.sequence += 1
             start += whole
         if length > start:
-            self.waiting.append((key, counts, start, length - start))
-        if len(self.waiting) >= self.pool:
+            self.tokens += length - start
+            if rest is None:
+                self.waiting.append((key, counts, start, length - start))
+            else:
+                self.waiting.append((rest(start), counts[start:] - counts[start], 0, length - start))
+        if len(self.waiting) >= self.pool or self.tokens >= self.pool * self.limits.tokens:
             placed.extend(self._pack(keep_last=True))
         return placed
 
@@ -64,7 +74,7 @@ class Packer:
 
     def _pack(self, keep_last: bool) -> list[tuple]:
         most = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
-        items, self.waiting = self.waiting, []
+        items, self.waiting, self.tokens = self.waiting, [], 0
         sizes = np.array([[n, 1, _cut(c, s, n)[1]] for _, c, s, n in items], float).reshape(-1, 3)
         open_ = np.ones(len(items), bool)
         placed: list[tuple] = []
@@ -98,6 +108,7 @@ class Packer:
                 placed.extend(self._place(items, held))
             elif keep_last and not open_.any() and total < self.limits.tokens:
                 self.waiting = [(items[i][0], items[i][1], s, n) for i, s, n in held]
+                self.tokens = total
             elif open_.any():
                 keep = 1 << (total.bit_length() - 1)
                 kept, given = self._split(held, keep)
@@ -158,7 +169,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, limits: Limits = Lim
     Returns a row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens``. All
     tokens but a text's first bear loss, since nothing before it predicts it. A full stretch of a long text is a
     sequence by itself; only what is left of each text is packed. A task packs its partition in pools of a bounded
-    number of texts, without a shuffle, and numbers its sequences from its partition's number on.
+    number of such remainders, of less than a sequence each, without a shuffle, and numbers its sequences from its
+    partition's number on. Besides them it holds one batch of texts.
 
     Null and empty texts are packed too: their end id. Repeated rows and null ids are packed like all others; other
     columns are ignored. An empty table gives an empty result.
@@ -173,7 +185,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, limits: Limits = Lim
         key_type = None
 
         def rows(placed: list[tuple]) -> pa.RecordBatch:
-            found = [(k, zlib.crc32(ids[s * 4 : (s + n) * 4]), len(ids) // 4, s, n, q, o) for (k, ids), s, n, q, o in placed]
+            found = [
+                (key, zlib.crc32(ids[s * 4 : (s + n) * 4]), total, before + s, n, q, o)
+                for (key, total, before, ids), s, n, q, o in placed
+            ]
             keys, sums, totals, starts, lengths, sequences, offsets = zip(*found, strict=True)
             loss = [n - (s == 0) for s, n in zip(starts, lengths, strict=True)]
             longs = (starts, lengths, sums, totals, [first + q for q in sequences], offsets, loss)
@@ -183,9 +198,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, limits: Limits = Lim
             key_type, placed = batch.schema.field(0).type, []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoder.encode(raw.as_buffer().to_pybytes()) + end
-                loss = np.ones(len(ids) // 4, np.int8)
+                total = len(ids) // 4
+                loss = np.ones(total, np.int8)
                 loss[0] = 0
-                placed.extend(packer.add((key, ids), loss))
+                placed.extend(packer.add((key, total, 0, ids), loss, lambda s: (key, total, s, ids[s * 4 :])))
             if placed:
                 yield rows(placed)
         if placed := packer.flush():

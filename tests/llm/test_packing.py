@@ -1,5 +1,7 @@
 """The packer alone: nothing lost, limits kept, little padding."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -49,3 +51,33 @@ def test_pieces_are_mostly_whole():
 
 def test_nothing_in_nothing_out():
     assert place([], Limits(), 8) == []
+
+
+def test_what_waits_is_bounded_however_long_texts_are():
+    """Remainders alone are kept: of texts of a million tokens, less than a sequence each."""
+    tracemalloc.start()
+    packer, seen, total = Packer(Limits(), pool=64), np.zeros(200, int), 1_000_000 + 517
+    for key in range(200):
+        ids = bytes(4 * total)
+        for (name, _, base, held), start, length, *_ in packer.add(
+            (key, total, 0, ids), np.ones(total, np.int8), lambda s: (key, total, s, ids[4 * s :])
+        ):
+            assert len(held[4 * start : 4 * (start + length)]) == 4 * length and base + start + length <= total
+            seen[name] += length
+        del ids, held
+    waiting, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    for (name, *_), _, length, *_ in packer.flush():
+        seen[name] += length
+    assert (seen == total).all()
+    assert waiting < 64 * 1024 * 16 + 4_000_000
+
+
+def test_rest_keys_give_the_same_pieces():
+    random = np.random.default_rng(3)
+    examples = [random.random(random.integers(1, 4000)) < 0.9 for _ in range(300)]
+    packer, placed = Packer(Limits(), 50), []
+    for key, loss in enumerate(examples):
+        placed += packer.add((key, 0), loss, lambda s: (key, s))
+    placed += packer.flush()
+    assert [(k, base + s, *more) for (k, base), s, *more in placed] == place(examples, Limits(), 50)

@@ -39,14 +39,16 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_a
     )
 
     full = F.sha2(F.col("body").cast("binary"), 256)
+    # Where all digests are asked for, they travel instead of the texts.
+    carried = full.alias("digest") if digest_all else F.col("body")
     rows = (
-        text.select("doc_id", "body", n_bytes, prefix_hash)
+        text.select("doc_id", carried, n_bytes, prefix_hash)
         .join(shared, ["n_bytes", "prefix_hash"], "left")
         .select(
             "doc_id",
             "n_bytes",
             F.coalesce("shared", F.lit(False)).alias("shared"),
-            (full if digest_all else F.when(F.col("shared"), full)).alias("text_sha256"),
+            (F.col("digest") if digest_all else F.when(F.col("shared"), full)).alias("text_sha256"),
             F.monotonically_increasing_id().alias("row"),
         )
     )

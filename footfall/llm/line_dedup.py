@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from footfall.llm.blocks import block_pairs
 from footfall.llm.common import Scratch, body, bounded_batches
 from footfall.llm.components import connected_components
+from footfall.llm.meeting import shared_bands
 
 SHINGLE_CHARS = 6  # even: shingles are hashed in pairs of characters
 BANDS = 12
@@ -171,7 +172,7 @@ def occurrences(keyed: DataFrame) -> DataFrame:
     """Every line that is not blank: ``doc_id, key, line_no, line, bands``.
 
     ``line`` is the hash of the normalised line. A line's bands are worked out at its first occurrence in a batch and
-    null at the others.
+    empty at the others.
     """
 
     def run(batches):
@@ -288,7 +289,7 @@ def block_links(contents: list[str], roots: np.ndarray, sides: np.ndarray, thres
 def few_crossing(rest: DataFrame) -> DataFrame:
     """Pairs ``a, b`` to compare in bands of few lines: no more than a fixed number for each line. ``linked`` is false."""
     member = F.struct("line", "root")
-    groups = rest.groupBy("band").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    groups = rest.groupBy("band").agg(F.sort_array(F.collect_set(member)).alias("m"))
     one = groups.select("m", F.explode("m").alias("x"))
     others = F.filter("m", lambda y: (y["line"] > F.col("x.line")) & (y["root"] != F.col("x.root")))
     pairs = one.select(F.col("x.line").alias("a"), F.explode(others).alias("y"))
@@ -324,11 +325,8 @@ def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, thresho
     other, in blocks. So every pair of a band is linked, or linked over others, or compared; a group of many near copies costs one
     comparison a line, and no bands' pairs are listed.
     """
-    dealt = seen.filter("bands IS NOT NULL").select("line", F.explode("bands").alias("band"))
-    sums = dealt.groupBy("band").agg(F.min("line").alias("least"), F.max("line").alias("most"))
-    full = scratch.table(sums.filter("least <> most").select("band", "least"), "full-bands")
-    members = dealt.join(full, "band").select("band", "line", "least").distinct()
-    members = scratch.table(members, "members")
+    banded = seen.filter("size(bands) > 0")
+    members = scratch.table(shared_bands(banded, BANDS, seen.count()), "members")
 
     texts = line_texts(keyed).join(members.select("line").distinct(), "line", "left_semi").distinct()
     texts = scratch.table(texts, "texts")
@@ -337,13 +335,13 @@ def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, thresho
     roots = connected_components(links, scratch)
 
     placed = members.join(roots, members.line == roots.node, "left").select(
-        "band", "line", "least", F.coalesce("root", "line").alias("root")
+        "band", "line", "least", "whole", F.coalesce("root", "line").alias("root")
     )
     placed = scratch.table(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
     mixed = scratch.table(mixed.select("band"), "mixed-bands")
-    # The least line of a band has been compared with all others.
-    rest = scratch.table(placed.join(mixed, "band", "left_semi").filter("line <> least"), "rest")
+    # The least line of a whole band has been compared with all others.
+    rest = scratch.table(placed.join(mixed, "band", "left_semi").filter("line <> least OR NOT whole"), "rest")
     sizes = scratch.table(rest.groupBy("band").agg(F.count("*").alias("n")), "sizes")
     few = rest.join(sizes.filter(F.col("n") <= FEW_LINES).select("band"), "band", "left_semi")
     many = rest.join(sizes.filter(F.col("n") > FEW_LINES).select("band"), "band", "left_semi")
@@ -352,7 +350,7 @@ def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, thresho
     listed = verified(crossing.filter("not linked").select("a", "b").distinct(), texts, threshold)
     more = listed.unionByName(crossing.filter("linked").select("a", "b"))
     more = scratch.table(more, "cross-links")
-    scratch.drop("sizes", "crossing", "full-bands", "members", "texts", "placed", "mixed-bands", "rest")
+    scratch.drop("sizes", "crossing", "members", "texts", "placed", "mixed-bands", "rest")
     if more.isEmpty():
         return roots
     again = Scratch(keyed.sparkSession, "line-dedup-again")

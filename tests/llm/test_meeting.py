@@ -1,0 +1,68 @@
+"""Members of shared bands against plain grouping, whole and in parts."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from footfall.llm.meeting import shared_bands
+
+
+def bands_of(rows):
+    out = {}
+    for line, own in rows:
+        for band in own:
+            out.setdefault(band, set()).add(line)
+    return {band: lines for band, lines in out.items() if len(lines) > 1}
+
+
+def made(seed, lines=400, crowded=150):
+    """Lines of three bands; many share the first one, which is 7 then, and lines are repeated."""
+    rng = random.Random(seed)
+    numbers = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(lines)]
+    rows = [(n, [7 if i < crowded else rng.randrange(1, 1 << 62), rng.randrange(-300, 0), rng.randrange(-(1 << 60), -1000)])
+            for i, n in enumerate(numbers)]
+    rows += rng.choices(rows, k=lines)
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"per_task": 50}, {"flush": 60, "most_held": 20}, {"crowd": 3}, {"flush": 90, "crowd": 2, "most_held": 10}])
+def test_rows_connect_exactly_the_lines_of_each_band(spark, limits):
+    rows = made(3)
+    got = shared_bands(spark.createDataFrame(rows, "line long, bands array<long>"), 3, len(rows), **limits).collect()
+    want = bands_of(rows)
+    found = {}
+    for r in got:
+        found.setdefault(r.band, []).append(r)
+    assert {band: {r.line for r in own} for band, own in found.items()} == want
+    for band, own in found.items():
+        root = {line: line for line in want[band]}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in own:
+            assert r.least in want[band] and r.least <= r.line
+            root[find(r.line)] = find(r.least)
+            assert not r.whole or r.least == min(want[band])
+        assert len({find(x) for x in want[band]}) == 1
+        if any(r.whole for r in own):
+            assert all(r.whole for r in own) and len(own) == len(want[band])
+
+
+def test_lines_of_a_crowded_band_go_to_many_buckets(spark):
+    """All lines share a band; a task that reads them passes on the least one, the others go where that one leads."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(-(1 << 62), 1 << 62), [1]) for _ in range(2_000)]
+    seen = spark.createDataFrame(rows, "line long, bands array<long>").repartition(16)
+    met = shared_bands(seen, 1, len(rows), per_task=100, flush=64)
+    tasks = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 5 and max(tasks) < 1_000
+    assert {r.line for r in met.collect()} == {r[0] for r in rows}
+
+
+def test_empty_table(spark):
+    assert shared_bands(spark.createDataFrame([], "line long, bands array<long>"), 3, 0).collect() == []

@@ -18,7 +18,7 @@ SHINGLE_CHARS = 6  # even: shingles are hashed in pairs of characters
 BANDS = 12
 ROWS = 5
 THRESHOLD = 0.8
-BATCH_CHARS = 1 << 18  # small arrays stay in the processor's cache
+BATCH_CHARS = 1 << 16  # small arrays stay in the processor's cache
 FEW_LINES = 32  # bands of so many lines have their pairs listed, larger ones are compared in blocks
 BLOCK_LINES = 500
 BLOCK_CHARS = 500_000
@@ -32,7 +32,10 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 def normalised(line: str) -> str:
     """What of a line counts: letters without case, runs of white space as one space."""
-    return " ".join(line.lower().split())
+    low = line.lower()
+    if low.isprintable() and "  " not in low:  # of white space, only the plain space is printable
+        return low.strip(" ")
+    return " ".join(low.split())
 
 
 def line_id(line: str) -> int:
@@ -169,16 +172,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(keyed: DataFrame) -> DataFrame:
-    """Every line that is not blank: ``doc_id, key, line_no, line, bands``.
+    """Every line that is not blank: ``doc_id, key, line_no, line, bands, content``.
 
-    ``line`` is the hash of the normalised line. A line's bands are worked out at its first occurrence in a batch and
-    empty at the others.
+    ``line`` is the hash of the normalised line, ``content``. A line's bands are worked out at its first occurrence in a
+    batch; at the others they are empty, and ``content`` is null.
     """
 
     def run(batches):
         for batch in batches:
             doc_ids, texts, keys = (c.to_pylist() for c in batch.columns)
             rows: list[tuple] = []
+            contents: list[str | None] = []
             fresh: dict[str, int] = {}
             for doc_id, text, key in zip(doc_ids, texts, keys, strict=True):
                 for number, raw in enumerate((text or "").split("\n")):
@@ -187,6 +191,7 @@ def occurrences(keyed: DataFrame) -> DataFrame:
                         if new:
                             fresh[line] = line_id(line)
                         rows.append((doc_id, key, number, fresh[line], new))
+                        contents.append(line if new else None)
             if not rows:
                 continue
             parts = [bands(signatures(part)) for part in _batches_of(list(fresh))]
@@ -196,28 +201,13 @@ def occurrences(keyed: DataFrame) -> DataFrame:
             ids, own, numbers, lines, _ = zip(*rows, strict=True)
             listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(own), pa.array(numbers, pa.int32()), pa.array(lines), listed],
-                ["doc_id", "key", "line_no", "line", "bands"],
+                [pa.array(ids, batch.schema.field(0).type), pa.array(own), pa.array(numbers, pa.int32()), pa.array(lines), listed,
+                 pa.array(contents, pa.string())],
+                ["doc_id", "key", "line_no", "line", "bands", "content"],
             )
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {kind}, key long, line_no int, line long, bands array<long>")
-
-
-def line_texts(keyed: DataFrame) -> DataFrame:
-    """``line, content`` of every line that is not blank, normalised."""
-
-    def run(batches):
-        for batch in batches:
-            seen: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for raw in (text or "").split("\n"):
-                    if (line := normalised(raw)) and line not in seen:
-                        seen[line] = line_id(line)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen.values())), pa.array(list(seen))], ["line", "content"])
-
-    return keyed.select("text").mapInArrow(run, "line long, content string")
+    return keyed.mapInArrow(run, f"doc_id {kind}, key long, line_no int, line long, bands array<long>, content string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -317,18 +307,20 @@ def crossing_links(rest: DataFrame, texts: DataFrame, threshold: float, block: i
     return dealt.groupBy("band", "one", "two").applyInPandas(compare, "a long, b long").distinct()
 
 
-def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+def line_components(seen: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     """Lines linked to others, with the smallest line of their component: ``node, root``.
 
-    Lines that share a band are compared with the smallest line of the band first, and what is linked is put together.
-    Only where a band then still holds lines of several components are lines of different ones compared with each
-    other, in blocks. So every pair of a band is linked, or linked over others, or compared; a group of many near copies costs one
+    Lines that share a band are compared with the smallest line of the band first, or of the part of it that they came in, and
+    what is linked is put together. Only where a band then still holds lines of several components are lines of different
+    ones compared with each other, in blocks. So every pair of a band is linked, or linked over others, or compared; a group of many near copies costs one
     comparison a line, and no bands' pairs are listed.
     """
     banded = seen.filter("size(bands) > 0")
     members = scratch.table(shared_bands(banded, BANDS, seen.count()), "members")
 
-    texts = line_texts(keyed).join(members.select("line").distinct(), "line", "left_semi").distinct()
+    # Written out, so that its size is known where the join is planned: texts are shuffled only if they must be.
+    wanted = scratch.table(members.select("line").distinct(), "wanted")
+    texts = banded.select("line", "content").join(wanted, "line", "left_semi").distinct()
     texts = scratch.table(texts, "texts")
     stars = members.filter("line <> least").select(F.col("least").alias("a"), F.col("line").alias("b")).distinct()
     links = scratch.table(verified(stars, texts, threshold), "star-links")
@@ -350,10 +342,10 @@ def line_components(seen: DataFrame, keyed: DataFrame, scratch: Scratch, thresho
     listed = verified(crossing.filter("not linked").select("a", "b").distinct(), texts, threshold)
     more = listed.unionByName(crossing.filter("linked").select("a", "b"))
     more = scratch.table(more, "cross-links")
-    scratch.drop("sizes", "crossing", "members", "texts", "placed", "mixed-bands", "rest")
+    scratch.drop("sizes", "crossing", "members", "wanted", "texts", "placed", "mixed-bands", "rest")
     if more.isEmpty():
         return roots
-    again = Scratch(keyed.sparkSession, "line-dedup-again")
+    again = Scratch(seen.sparkSession, "line-dedup-again")
     return connected_components(links.unionByName(more), again)
 
 
@@ -376,7 +368,7 @@ def deduplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple
     scratch = Scratch(spark, "line-dedup")
     keyed = _keyed(docs)
     seen = scratch.table(occurrences(keyed), "occurrences")
-    roots = line_components(seen, keyed, scratch, threshold)
+    roots = line_components(seen, scratch, threshold)
 
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line_no")
     firsts = scratch.table(seen.groupBy("line").agg(F.min(place).alias("first")), "firsts")

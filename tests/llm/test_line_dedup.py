@@ -83,6 +83,13 @@ def varied(seed, n):
     return rows
 
 
+def test_normalised_lines_have_single_spaces():
+    rng = random.Random(9)
+    signs = "aB é ß Σ İ 中😀   \t\r\x0b\x1c\x1f\x85\xa0\u2003\u2028\u3000\u200b\0\ud800"
+    lines = ["", " ", "ΑΣ", *("".join(rng.choices(signs, k=rng.randrange(1, 9))) for _ in range(20_000))]
+    assert [L.normalised(x) for x in lines] == [" ".join(x.lower().split()) for x in lines]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, seed):
     check(spark, varied(seed, 120))
